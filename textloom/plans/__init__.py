@@ -1 +1 @@
-"""textloom.plans"""
+"""Grammar compilation on the driver: expressions to automata to tables that kernels run."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read lazily by Spark's own reader."""
     attach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage of an iterative computation: a checkpoint in the shared folder ``spark.checkpoint.dir``, which
+    survives lost executors. Where the session leaves that unset (one machine, as in tests) a temporary folder is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -1 +1 @@
-"""textloom.sources"""
+"""Documents in and out."""

@@ -1 +1 @@
-"""textloom.streaming"""
+"""Incremental maintenance: edit folding, change feeds, streams, revisions."""
