@@ -75,7 +75,7 @@ class Crf:
         """Emission scores of words, made once per distinct word (up to MEMO_WORDS) and worker."""
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
-        new = set(words) - self.memo.keys()
+        new = [w for w in set(words) if w not in self.memo]
         need = len(self.memo) + len(new)
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows[: len(self.memo)], np.zeros((2 * need - len(self.memo), self.rows.shape[1]), np.float32)])

@@ -50,8 +50,9 @@ class _Words:
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         memo = self.memo
-        for w in set(words) - memo.keys():
-            memo[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in memo:
+                memo[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 

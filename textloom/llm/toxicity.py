@@ -26,8 +26,8 @@ from .common import attach, crc32_of_id, small_batches, texts_of
 
 BITS = 20
 SAMPLE = 10_000
-PASSES = 4
-ALPHA, BETA, L1, L2 = 0.08, 1.0, 1.2, 0.5
+PASSES = 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
 MEMO_WORDS = 300_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: ASCII separators to spaces over UTF-8 bytes; other characters stay in words.
@@ -44,8 +44,9 @@ class WordHashes:
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         memo = self.memo
-        for w in set(words) - memo.keys():
-            memo[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in memo:
+                memo[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
