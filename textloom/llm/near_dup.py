@@ -7,12 +7,11 @@ within CHUNKS * (ERRORS + 1) - 1 differing components agree in some chunk up to
 chunk emits a key for each component left out, so any such pair shares a key. At a similarity of 0.8 that distance (27
 of 64) is four standard deviations above the mean of 12.8.
 
-Classes that share a key meet at pivots, never all with all. Keys that one class has alone are dropped by a grouped
-minimum and maximum. First each class is compared with the smallest class of all its keys. Links are confirmed on full
-sets and joined to components. Then, as long as a key holds classes of several components, more pivots are taken from
-its rarer components, twice as many each round, and compared with the key's classes of other components, until each pair
-of a key is in one component or has been compared. Pairs are cut by signature distance before sets are compared.
-Sets are made only for classes with candidates.
+Classes that share a key never meet all with all. First each class is compared with the smallest class of all its keys;
+links are confirmed on full sets and joined to components. Keys that still hold classes of several components are
+settled exactly: each class that isn't of a key's largest component is compared with all classes that came under that
+component, block by block, first by signature distance, then on full sets. Every pair that shares a key is then in one
+component or has been compared. Sets are made only for classes with candidates.
 
 Defined results: null texts and texts without words have no set, are linked with nothing and are kept; a text with fewer
 than ``width`` words has its whole sequence as one shingle; repeated rows have equal results; component_id is the
@@ -22,12 +21,13 @@ tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Sketch, attach, lookup, small_batches, texts_of, written
@@ -36,45 +36,50 @@ COMPONENTS = 64
 CHUNKS = 14
 #: Signatures farther apart than this are not compared: the distance that the chunks guarantee.
 DISTANCE = CHUNKS * 2 - 1
-MEMO_WORDS = 400_000
+#: Classes in a block, on the average, and blocks of one component that a task gets.
+BLOCK, TOGETHER = 128, 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 MULTIPLIERS = np.random.default_rng(20).integers(1 << 62, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BOUNDS = [round(i * COMPONENTS / CHUNKS) for i in range(CHUNKS + 1)]
 
 
-class _Words:
-    def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * M3
+    x = (x ^ (x >> np.uint64(29))) * M1
+    return x ^ (x >> np.uint64(32))
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        for w in set(words):
-            if w not in memo:
-                memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's begin. Arrow numbers the words of a batch, so
+    that each distinct one is hashed once."""
+    words = [t.encode().translate(LOWER).split() for t in texts]
+    ends = np.cumsum([0] + [len(w) for w in words])
+    if not ends[-1]:
+        return np.empty(0, np.uint64), ends
+    coded = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()], ends
 
-_WORDS = _Words()
 
+def all_shingles(texts: list[str], width: int = 2) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    h, ends = word_hashes(texts)
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * M3
-    x = (x ^ (x >> np.uint64(29))) * M1
-    return x ^ (x >> np.uint64(32))
+    def rolled(h: np.ndarray, n: int) -> np.ndarray:
+        x = np.full(len(h) - n + 1, n, np.uint64)
+        for i in range(n):
+            x = mix(x * M2 + h[i : len(h) - n + 1 + i])
+        return x
+
+    x = rolled(h, width) if len(h) >= width else h[:0]
+    out = []
+    for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        out.append(np.unique(x[a : b - width + 1]) if b - a >= width else rolled(h[a:b], b - a) if b > a else h[:0])
+    return out
 
 
 def shingles(text: str, width: int = 2) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    h = _WORDS.hashes(text.encode().translate(LOWER).split())
-    if not len(h):
-        return h
-    n = min(width, len(h))
-    x = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        x = mix(x * M2 + h[i : len(h) - n + 1 + i])
-    return np.unique(x)
+    return all_shingles([text], width)[0]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -146,7 +151,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         for batch in small_batches(batches, "text", 2 << 20):
             ok = ids.may_hold(batch.column(0).to_numpy())
             batch = batch.filter(pa.array(ok))
-            sets = [shingles(t, width) for t in texts_of(batch)]
+            sets = all_shingles(texts_of(batch), width)
             node = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             hold = wanted.may_hold(np.array([int.from_bytes(n[:8], "big") >> 4 for n in node], np.int64)) if node else []
             got = [(n, s.tobytes()) for n, s, h in zip(node, sets, hold, strict=True) if h and len(s)]
@@ -180,6 +185,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def wanted(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    return written(nodes.distinct().join(classes.select("node", "rep"), "node"), "wanted")
+
+
+def meet(groups: DataFrame, payload: DataFrame, compare: Callable, schema: str) -> DataFrame:
+    """Classes (top, node, label) compared within each top: those of other components with all.
+
+    Both sides are packed into blocks of about BLOCK classes; a row is a pair of blocks, compared at once, so that no row
+    is a pair of classes. Blocks of a large top go to several tasks, TOGETHER blocks each.
+    """
+    g = groups.join(payload, "node").select("top", "node", "label", "x")
+    n = groups.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("top")).alias("n_other")).where("n_other > 0")
+    n = n.select("top", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("n_other") / BLOCK).alias("others"))
+    g = g.join(n, "top")
+    item = F.struct("node", "label", "x")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    every = g.groupBy("top", block.alias("b")).agg(F.collect_list(item).alias("m")).select("top", F.floor(F.col("b") / TOGETHER).alias("salt"), "m")
+    other = g.where(F.col("label") != F.col("top")).groupBy("top", "blocks", F.pmod(F.xxhash64("node"), F.col("others")).alias("b")).agg(F.collect_list(item).alias("p"))
+    other = other.select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / TOGETHER))).alias("salt"), "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                top, p, m = (batch.column(c)[i].as_py() for c in range(3))
+                rows = compare(top, p, m)
+                if rows:
+                    names = [x.split()[0] for x in schema.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names)
+
+    return other.join(every, ["top", "salt"]).select("top", "p", "m").mapInArrow(run, schema)
+
+
+def _within_distance(top: bytes, p: list[dict], m: list[dict]) -> list[tuple]:
+    """Classes of the two blocks that have one of another component within the signature distance."""
+    x, y = (np.frombuffer(b"".join(c["x"] for c in side), "<u2").reshape(-1, COMPONENTS) for side in (p, m))
+    lx, ly = (np.array([c["label"] for c in side], object) for side in (p, m))
+    hit_p, hit_m = np.zeros(len(p), bool), np.zeros(len(m), bool)
+    for i in range(len(p)):
+        ok = ((y != x[i]).sum(axis=1) <= DISTANCE) & (ly != lx[i])
+        hit_p[i] = ok.any()
+        hit_m |= ok
+    return [(top, c["node"], c["label"]) for side, hit in ((p, hit_p), (m, hit_m)) for c, h in zip(side, hit.tolist(), strict=True) if h]
+
+
+def _similar(percent: int) -> Callable:
+    def compare(top: bytes, p: list[dict], m: list[dict]) -> list[tuple]:
+        """Confirmed links between the blocks: of each class in ``p``, one to each other component in ``m``."""
+        sets = [np.frombuffer(c["x"], np.uint64) for c in m]
+        size = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(m)), size)
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        out = []
+        for c in p:
+            s = np.frombuffer(c["x"], np.uint64)
+            a, b = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+            n = b - a
+            places = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            both = np.bincount(owner[places], minlength=len(m))
+            linked: dict[bytes, bytes] = {}
+            for j in np.flatnonzero(100 * both >= percent * (len(s) + size - both)).tolist():
+                if m[j]["label"] != c["label"]:
+                    linked.setdefault(m[j]["label"], m[j]["node"])
+            out += [(c["node"], node) for node in linked.values()]
+        return out
+
+    return compare
+
+
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs within the signature distance, and of sizes that can reach the similarity."""
 
@@ -202,7 +277,7 @@ def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
-            sets = [shingles(t, width) for t in texts_of(batch)]
+            sets = all_shingles(texts_of(batch), width)
             node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sig = [signature(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "node", "sig"])
@@ -237,39 +312,25 @@ def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     met = lookup(members.select(F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("k"), "node"), pivots, "k", "n_rows", total).where(F.col("pivot").isNotNull())
     members = written(met.select("k", "node", "pivot"), "members")
 
-    # First round: each class and the smallest class of all its keys.
+    # Stars: each class and the smallest class of all its keys.
     first = members.groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b")).where("a <> b")
     candidates = written(near(first, classes), "near")
     members = members.select("k", "node")
-    wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node")
-    sets = sets_of(docs, written(wanted, "wanted"), width)
-    links = written(confirmed(candidates, sets, percent), "confirmed")
-    done: DataFrame | None = None
-    take = 4
-    while True:
-        labels = components(links)
-        labelled = members.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
-        # (key, component) groups, of keys with several components.
-        groups = labelled.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pick"))
-        several = groups.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.max(F.struct("c", "label")).alias("top")).where("g > 1")
-        mixed = written(labelled.join(several.select("k", F.col("top.label").alias("top")), "k"), "mixed")
-        # A class that was a pivot of a key has been compared with all of it. Pivots come from all components but the
-        # key's largest: when those are done, every pair across components has been compared.
-        open_ = mixed.where(F.col("label") != F.col("top"))
-        if done is not None:
-            open_ = open_.join(done, ["k", "node"], "left_anti")
-        size = open_.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("k", "label")))
-        rank = F.row_number().over(Window.partitionBy("k").orderBy("c", "label", "node"))
-        chosen = written(size.withColumn("r", rank).where(F.col("r") <= take).select("k", F.col("node").alias("pivot"), F.col("label").alias("pl")), "pivots")
-        if not chosen.limit(1).count():
-            break
-        pairs = mixed.join(chosen, "k").where("label <> pl").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = written(near(pairs, classes), "near")
-        more = confirmed(found, sets, percent)
-        links = written(links.unionByName(more), "confirmed")
-        now = chosen.select("k", F.col("pivot").alias("node"))
-        done = written(now if done is None else done.unionByName(now), "done")
-        take *= 2
+    links = written(confirmed(candidates, sets_of(docs, wanted(candidates.select(F.explode(F.array("a", "b")).alias("node")), classes), width), percent), "confirmed")
+    labels = components(links)
+
+    # Keys that hold classes of several components. ``top`` is a key's largest component; a class of another one is to
+    # be compared with all classes that came under that component.
+    labelled = members.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
+    groups = labelled.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"))
+    several = groups.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.max(F.struct("c", "label")).alias("t")).where("g > 1")
+    mixed = labelled.join(several.select("k", F.col("t.label").alias("top")), "k")
+    mixed = written(mixed.groupBy("top", "node").agg(F.first("label").alias("label")), "mixed")
+    close = written(meet(mixed, classes.select("node", F.col("sig").alias("x")), _within_distance, "top binary, node binary, label binary").distinct(), "close")
+    sets = sets_of(docs, wanted(close.select("node"), classes), width)
+    more = meet(close, sets.select("node", F.col("s").alias("x")), _similar(percent), "a binary, b binary")
+    links = written(links.unionByName(more), "confirmed")
+    labels = components(links)
 
     # Smallest id of each component, and back to the rows.
     named = classes.select("node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
