@@ -22,15 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, small_batches, texts_of
-from .pretoken import PieceCache, as_bytes, load_ranks
-
-
-def byte_characters() -> str:
-    """The character of each byte: printable Latin-1 for itself, the others from U+0100 on, in order."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
+from .common import attach, small_batches
+from .pretoken import PatternEncoder, as_bytes, byte_characters, load_ranks
 
 
 CHARACTERS = byte_characters()
@@ -82,7 +75,7 @@ class ByteBpe:
         self.ranks = load_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.tokens = [t for t, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
-        self.cache = PieceCache(pattern, self._pieces)
+        self.cache = PatternEncoder(pattern, self._pieces)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
@@ -90,7 +83,7 @@ class ByteBpe:
         # A piece that is a token as a whole is that token, whether or not its merges lead there.
         return [struct.pack("<I", self.ranks[r]) if len(o) > 4 and r in self.ranks else o for r, o in zip(raw, out, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         return self.cache.texts(texts)
 
     def decode(self, ids: bytes) -> bytes:
@@ -113,7 +106,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in small_batches(batches, "text", 4 << 20):
-            ids = bpe.encode(texts_of(batch))
+            ids = bpe.encode(batch.column(batch.schema.get_field_index("text")))
             decoded = pa.array([bpe.decode(i) for i in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), decoded], [*batch.schema.names, "ids", "n_tokens", "decoded"])
 
@@ -128,7 +121,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = codec(path, pattern), lambda b: hashlib.sha256(b).hexdigest()
         for batch in small_batches(batches, "text", 4 << 20):
-            ids = bpe.encode(texts_of(batch))
+            ids = bpe.encode(batch.column(batch.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([sha(i) for i in ids]), pa.array([sha(bpe.decode(i)) for i in ids])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

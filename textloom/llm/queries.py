@@ -14,7 +14,7 @@ TOKEN_LIMIT = 4096
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = token_planes.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_ID)
+    index = token_planes.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return token_planes.read_tokens(index)
 
 

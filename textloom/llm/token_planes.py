@@ -21,21 +21,24 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, open_input, open_output, scratch, small_batches, texts_of, written
-from .pretoken import PieceCache, as_bytes
+from .common import attach, open_input, open_output, scratch, small_batches, written
+from .pretoken import Encoder, Units, as_bytes, byte_characters
 
 MAGIC = b"TLPLANE1"
 BLOCK = 1 << 16
+#: Chunks that are encoded in one call.
+JOINED = 4000
 
 
 # -- the file format -------------------------------------------------------------------------------------------
@@ -142,14 +145,15 @@ def read_file(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str, pattern: str):
+def library_encoder(path: str):
     """Texts to id bytes as the tokenizers library gives them (add_special_tokens=False).
 
-    Its byte-level pre-tokenizer splits by ``pattern`` and takes no context over a match, so distinct pieces are
-    encoded once per worker. A text with the string of an added token goes to the library as it is.
+    Its byte-level pre-tokenizer takes no context over a cut between chunks, so distinct chunks are encoded once per
+    worker, many in one call: joined again they split at the same places, and the bytes of each token tell where a
+    chunk's ids end. A text with the string of an added token goes to the library as it is.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
@@ -157,14 +161,54 @@ def library_encoder(path: str, pattern: str):
     added = [a["content"] for a in spec.get("added_tokens") or ()]
     pre = spec.get("pre_tokenizer") or {}
     whole = lambda texts: as_bytes([e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
-    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-        return whole
-    cache = PieceCache(pattern, whole)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        special = [i for i, t in enumerate(texts) if any(a in t for a in added)]
-        out = cache.texts(["" if i in set(special) else t for i, t in enumerate(texts)] if special else texts)
-        for i, got in zip(special, whole([texts[i] for i in special]) if special else (), strict=True):
+    plain = lambda texts: whole(pc.fill_null(texts, "").to_pylist())
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("model", {}).get("type") != "BPE":
+        return plain
+    vocabulary = tok.get_vocab(with_added_tokens=False)
+    n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for piece, i in vocabulary.items():
+        n_bytes[i] = len(piece)  # a character of a byte-level piece is a byte
+
+    # Words of letters need no split: the model alone, on their bytes' characters.
+    bare = Tokenizer(tok.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    characters = {**dict(enumerate(byte_characters())), 32: " " + byte_characters()[32]}
+
+    def parted(joined: str, ids: list[int]) -> Units:
+        """Ids of chunks by where their bytes end: white space is at the beginning of chunks alone."""
+        flat = np.array(ids, "<u4")
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        limits = np.append(np.flatnonzero((raw == 32) | (raw == 10)), len(raw))[1:]
+        stops = np.searchsorted(np.cumsum(n_bytes[flat]), limits) + 1
+        return Units(flat, np.diff(stops, prepend=0))
+
+    def chunks(new: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(new), JOINED):
+            joined = (" " + " ".join(new[i : i + JOINED])).replace(" \n", "\n")
+            got = parted(joined, tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
+            data, stops = got.flat.tobytes(), (np.cumsum(got.size) * 4).tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
+    def words(new: list[str]) -> Units:
+        out = [Units.of([])]
+        for i in range(0, len(new), JOINED):
+            joined = " " + " ".join(new[i : i + JOINED])
+            out.append(parted(joined, bare.encode_batch_fast([joined.encode().decode("latin-1").translate(characters)], add_special_tokens=False)[0].ids))
+        return Units.joined(out)
+
+    cache = Encoder(words, chunks, whole)
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        special = np.zeros(len(texts), bool)
+        for a in added:
+            special |= pc.match_substring(pc.fill_null(texts, ""), a).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return cache.texts(texts)
+        out = cache.texts(pc.if_else(pa.array(special), "", texts))
+        where = np.flatnonzero(special)
+        for i, got in zip(where, whole(texts.take(pa.array(where)).to_pylist()), strict=True):
             out[i] = got
         return out
 
@@ -174,7 +218,7 @@ def library_encoder(path: str, pattern: str):
 INDEX = "part int, path string, n_docs long, n_ids long, n_blocks long"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, plane: str = "byte", block: int = BLOCK) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, plane: str = "byte", block: int = BLOCK) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write plane files to the shared folder in ascending doc_id order.
 
     Returns the index of files, itself a written table. A task that runs again writes a file of its own; only files
@@ -184,12 +228,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, pla
     folder = scratch(spark, "planes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out = library_encoder(tokenizer, pattern), None
+        encode, out = library_encoder(tokenizer), None
         part, end = TaskContext.get().partitionId(), struct.pack("<I", end_id)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 12 << 20):
             if out is None:
                 out = PlaneWriter(f"{folder}/{part:06d}-{uuid.uuid4().hex}.tlp", plane, block)
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 out.add(doc, ids + end)
         if out is not None:
             row = out.close()
