@@ -105,3 +105,19 @@ def test_sql_path_equals_kernel(spark):
     b = lex.lex_sql(docs, "|".join(grammars.JSON_SQL.values()), grammars.JSON_SQL).collect()
     names = ["doc_id", "tok_idx", "name", "string", "start", "length", "byte_start"]
     assert sorted(tuple(r[n] for n in names) for r in a) == sorted(tuple(r[n] for n in names) for r in b)
+
+
+GRAMMARS = {"json": grammars.json_lexis, "words": grammars.word_lexis, "tags": grammars.tag_lexis, "boolean": lambda: grammars.boolean_syntax().lexical, "chain": lambda: grammars.chain_syntax().lexical, "module": lambda: grammars.module_syntax().lexical}
+
+
+@pytest.mark.parametrize("name", GRAMMARS)
+def test_patterns_are_given(name):
+    assert GRAMMARS[name]().patterns
+
+
+@pytest.mark.parametrize("name", GRAMMARS)
+@settings(max_examples=150, deadline=None)
+@given(text=st.text(alphabet='{}[]:, \n\t\f"\\truefalsn019.-+eEuéABF<>/ap=;_&|!()', max_size=40) | st.lists(st.sampled_from(["true", "false", "null", "<a ", "</a>", "<b>", "1.5e-3", "-0", '"\\u00AF"', '"x', "::", "a1 = b;", "{", "}", " ", "&", "|"]), max_size=12).map("".join))
+def test_patterns_equal_the_automaton(name, text):
+    g = GRAMMARS[name]()
+    assert list(g.scan(text)) == list(g.scan_states(text))

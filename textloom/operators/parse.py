@@ -25,6 +25,8 @@ FIELDS = [
 ]
 SCHEMA = ", ".join(f"{n} {t}" for n, t in FIELDS)
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}
+#: Texts of at most SHORT characters are remembered, MEMO of them.
+SHORT, MEMO = 256, 2000
 BLANKS = frozenset(" \r\f\t\n")
 
 
@@ -173,16 +175,29 @@ def parse(docs: DataFrame, grammar: SyntaxGrammar, kinds: tuple[str, ...] = ("no
     """Tagged rows of all documents. A null text parses as the empty one."""
     attach(docs.sparkSession)
     wanted = frozenset(kinds)
+    names = [n for n, _ in FIELDS[1:]]
+
+    def columns(text: str) -> list[list]:
+        rows = list(tree_rows(grammar, text, wanted))
+        return [[r.get(n) for r in rows] for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Short texts often come again: their rows are kept, up to MEMO texts.
+        memo: dict[str, list[list]] = {}
         for batch in slices(batches, 64):
-            cols: dict[str, list] = {n: [] for n, _ in FIELDS}
+            ids: list = []
+            cols: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in tree_rows(grammar, text or "", wanted):
-                    row["doc_id"] = doc
-                    for n, c in cols.items():
-                        c.append(row.get(n))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[n], ARROW[t]) for n, t in FIELDS], [n for n, _ in FIELDS])
+                text = text or ""
+                own = memo.get(text)
+                if own is None:
+                    own = columns(text)
+                    if len(text) <= SHORT and len(memo) < MEMO:
+                        memo[text] = own
+                ids += [doc] * len(own[0])
+                for c, x in zip(cols, own, strict=True):
+                    c += x
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, ARROW[t]) for c, (_, t) in zip(cols, FIELDS[1:], strict=True))], [n for n, _ in FIELDS])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
