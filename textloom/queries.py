@@ -14,7 +14,7 @@ from .operators import lex, navigate, parse, relational
 from .plans.lexical import TokenSet
 from .report import messages
 from .semantics import chains, modules
-from .session import cut, table
+from .session import cut, folder, table
 from .streaming import edits, revisions
 
 QUERIES: dict = {}
@@ -514,6 +514,45 @@ def attr_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return revisions.verified(old, new, 2).select("attr_id", "value", "updated_at")
 
 
+def in_thirds(df: DataFrame, by: str, name: str) -> str:
+    """A folder of files that arrive one after the other, in the order of ``by``."""
+    path = folder(df.sparkSession, name)
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    if low is None:
+        df.write.parquet(path)
+        return path
+    step = (high - low) // 3 + 1
+    for k in range(3):
+        df.where((F.col(by) >= low + k * step) & (F.col(by) < low + (k + 1) * step)).write.mode("append").parquet(path)
+    return path
+
+
+@query("SELECT user_id AS doc_id, string_agg(event_type || chr(10), '' ORDER BY event_id DESC) AS text, max(event_id) + 1 AS revision FROM events GROUP BY 1")
+def edit_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The fold as a stream: documents' state is their text, versions are appended per micro-batch, the last counts."""
+    log = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") + 1).alias("seq"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.concat("event_type", F.lit("\n")).alias("text"))
+    source, out = in_thirds(log, "seq", "edit-log"), folder(spark, "versions")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(source)
+    edits.run_available(stream, lambda df, _: df.write.mode("append").parquet(out), folder(spark, "stream"))
+    last = spark.read.schema(edits.VERSION).parquet(out).groupBy("doc_id")
+    return last.agg(F.max_by("text", "revision").alias("text"), F.max("revision").alias("revision"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, sum(value * 100)::DECIMAL(18, 0)::BIGINT AS cents FROM (SELECT ts, round(value, 2) AS value FROM events) GROUP BY 1")
+def event_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling windows over a stream with a watermark: the last result of each window."""
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.round("value", 2) * 100).cast("long").alias("cents"))
+    source, out = in_thirds(e, "event_id", "event-log"), folder(spark, "windows")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 64).parquet(source).withWatermark("ts", "40 days")
+    agg = stream.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    q = agg.writeStream.outputMode("update").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).option("checkpointLocation", folder(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    last = spark.read.parquet(out).groupBy("w").agg(F.max_by(F.struct("n", "cents"), "batch").alias("x"))
+    return last.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "x.n", "x.cents")
+
+
 # -- relational baseline ------------------------------------------------------------------------------------------------------------
 
 

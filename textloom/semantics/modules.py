@@ -1,7 +1,7 @@
 """Cross-document references: module::key chains over all documents, with cycle detection.
 
 Definitions form a functional graph, for each has one target at most. Pointer doubling squares the step each round, so
-that a chain of n definitions takes log2(n) joins; what is still on the way after 2**rounds steps runs in a cycle.
+that a chain of n definitions takes log2(n) joins.
 """
 
 from __future__ import annotations
@@ -31,17 +31,22 @@ def resolve(defs: DataFrame) -> DataFrame:
     """module, key, status (number, unresolved, recursive) and value."""
     node = lambda m, k: F.concat_ws("::", m, k)
     start = defs.select("module", "key", node(F.col("module"), F.col("key")).alias("id"), "number", F.when(F.col("number").isNull(), node(F.col("ref_module"), F.col("ref_key"))).alias("to"))
-    # state: id -> (number) done, (dead) unresolved, or (to) on the way
-    state = start.select("id", "number", "to", F.lit(False).alias("dead"))
-    n = start.count()
-    rounds = max(1, n.bit_length() + 1)
-    for r in range(rounds):
+    # A definition is done with a number, unresolved (dead) or recursive, or on the way to another one (to). Coming back
+    # to itself is recursive at once; what leads into a cycle without being on it is found when more steps are taken than
+    # there are definitions on the way.
+    loops = F.coalesce(F.col("to") == F.col("id"), F.lit(False))
+    state = cut(start.select("id", "number", F.when(~loops, F.col("to")).alias("to"), F.lit(False).alias("dead"), loops.alias("loop")))
+    steps = 1
+    while True:
         on_way = state.where(F.col("to").isNotNull())
-        t = state.select(F.col("id").alias("t_id"), F.col("number").alias("t_number"), F.col("to").alias("t_to"), F.col("dead").alias("t_dead"))
+        left = on_way.count()
+        if not left or steps > left:
+            break
+        t = state.select(F.col("id").alias("t_id"), F.col("number").alias("t_number"), F.col("to").alias("t_to"), F.col("dead").alias("t_dead"), F.col("loop").alias("t_loop"))
         met = on_way.join(t, F.col("to") == F.col("t_id"), "left")
-        moved = met.select("id", F.col("t_number").alias("number"), F.col("t_to").alias("to"), (F.col("t_id").isNull() | F.col("t_dead")).alias("dead"))
+        back = F.coalesce(F.col("t_loop"), F.lit(False)) | F.coalesce(F.col("t_to") == F.col("id"), F.lit(False))
+        moved = met.select("id", F.col("t_number").alias("number"), F.when(~back, F.col("t_to")).alias("to"), (F.col("t_id").isNull() | F.col("t_dead")).alias("dead"), back.alias("loop"))
         state = cut(state.where(F.col("to").isNull()).unionByName(moved))
-        if not state.where(F.col("to").isNotNull()).limit(1).count():
-            break
+        steps *= 2
     status = F.when(F.col("s.number").isNotNull(), "number").when(F.col("s.dead"), "unresolved").otherwise("recursive")
     return start.alias("a").join(state.alias("s"), "id").select("module", "key", status.alias("status"), F.col("s.number").alias("value"))

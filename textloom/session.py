@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share, ``spark.checkpoint.dir``. Where the session leaves
+    that unset (one machine, as in tests) a temporary folder is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage of an iterative computation: a checkpoint in the shared folder ``spark.checkpoint.dir``, which
-    survives lost executors. Where the session leaves that unset (one machine, as in tests) a temporary folder is set."""
+    """End the lineage of an iterative computation: a checkpoint in the shared folder, which survives lost executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder(spark, "cut"))
     return df.checkpoint()
