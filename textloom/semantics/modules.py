@@ -33,14 +33,13 @@ def resolve(defs: DataFrame) -> DataFrame:
     start = defs.select("module", "key", node(F.col("module"), F.col("key")).alias("id"), "number", F.when(F.col("number").isNull(), node(F.col("ref_module"), F.col("ref_key"))).alias("to"))
     # A definition is done with a number, unresolved (dead) or recursive, or on the way to another one (to). Coming back
     # to itself is recursive at once; what leads into a cycle without being on it is found when more steps are taken than
-    # there are definitions on the way.
+    # there are definitions.
     loops = F.coalesce(F.col("to") == F.col("id"), F.lit(False))
     state = cut(start.select("id", "number", F.when(~loops, F.col("to")).alias("to"), F.lit(False).alias("dead"), loops.alias("loop")))
-    steps = 1
-    while True:
+    steps, most = 1, start.count()
+    while steps <= most:
         on_way = state.where(F.col("to").isNotNull())
-        left = on_way.count()
-        if not left or steps > left:
+        if not on_way.limit(1).count():
             break
         t = state.select(F.col("id").alias("t_id"), F.col("number").alias("t_number"), F.col("to").alias("t_to"), F.col("dead").alias("t_dead"), F.col("loop").alias("t_loop"))
         met = on_way.join(t, F.col("to") == F.col("t_id"), "left")
