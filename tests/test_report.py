@@ -1,6 +1,6 @@
 from textloom import grammars
 from textloom.plans.syntax import Session
-from textloom.report.messages import Annotation, JsonHighlighter, Style, message, sanitize, snippet
+from textloom.report.messages import Annotation, JsonHighlighter, Style, message, sanitize, snippet, tree_text
 from textloom.report.printer import Printer, format_json
 
 
@@ -67,3 +67,8 @@ def test_styles():
     assert Style(bg=(1, 2, 3)).apply("x") == "\x1b[48;2;1;2;3mx\x1b[0m" and Style().apply("x") == "x"
     assert sanitize(Style(fg="bright_blue").apply("a\x07b")) == "ab"
     assert sanitize(JsonHighlighter()('{"a": 1}')) == '{"a": 1}'
+
+
+def test_tree_text():
+    assert tree_text(grammars.json_syntax(), '{"a" 1}').split("\n")[:4] == ["Root", "  object: Object", "    start: '{'", "    end: '}'"]
+    assert "nil" in tree_text(grammars.chain_syntax(), "{ a = ; }") or "value" in tree_text(grammars.chain_syntax(), "{ a = ; }")

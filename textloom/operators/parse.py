@@ -34,8 +34,17 @@ def tree_rows(grammar: SyntaxGrammar, text: str, kinds: frozenset[str]) -> Itera
     """Rows of one document, without doc_id."""
     tokens = list(grammar.lexical.scan(text))
     concrete = ConcreteTree() if "cst" in kinds else None
-    s = Session(grammar, tokens, len(text), concrete)
+    events: list[tuple] = []
+
+    def observe(*event) -> None:
+        events.append(event)
+        if concrete is not None:
+            concrete(*event)
+
+    s = Session(grammar, tokens, len(text), observe if "trace" in kinds else concrete)
     s.parse()
+    for i, (event, *x) in enumerate(events):
+        yield {"kind": "trace", "id": i, "name": event, "ref_id": x[0], "parent_id": x[1] if len(x) > 1 else None}
     spans, order = _spans(s, tokens), _intervals(s)
     names = [r.name for r in grammar.rules]
     if "tok" in kinds:
@@ -215,4 +224,5 @@ tokens = _part("tok", "doc_id id=tok_idx rule name start end string")
 nodes = _part("node", "doc_id id=node_id rule name parent_id depth pre post key=cap_key key_ord=cap_ord pos=cap_pos start end tok_from tok_to")
 captures = _part("cap", "doc_id id=node_id name key key_ord pos ref_kind=kind ref_id start end string")
 errors = _part("err", "doc_id id=err_id start end context name=context_name recovery expected_tokens expected_nodes")
+trace = _part("trace", "doc_id id=seq name=event ref_id parent_id=into")
 concrete = _part("cst", "doc_id id=cst_id rule name parent_id=parent pos=ord ref_kind=kind ref_id start end string well_formed")

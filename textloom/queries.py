@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import grammars
-from .functions import positions
+from .functions import characters, positions
 from .operators import lex, navigate, parse, relational
 from .plans.lexical import TokenSet
 from .report import messages
@@ -250,6 +250,21 @@ def conversation_parts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", long(F.length("text")).alias("chars"), positions.line_count(F.col("text")).alias("n_lines"))
 
 
+@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS alpha, length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) AS upper, length(regexp_replace(text, '[^\\p{N}]', '', 'g')) AS num, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS either FROM documents")
+def doc_char_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Characters by property, unions of properties among them."""
+    n = characters.count_characters
+    return documents(spark, d).select("doc_id", n(F.col("text"), "alpha").alias("alpha"), n(F.col("text"), "alpha", "upper", every=True).alias("upper"), n(F.col("text"), "num").alias("num"), n(F.col("text"), "alpha", "num").alias("either"))
+
+
+@query(f"SELECT * FROM (VALUES ('enter', 4::BIGINT), ('leave', 4), ('token', 6)) t(event, per), (SELECT count(*) AS docs FROM events)")
+def json_parse_trace(spark: SparkSession, d: str) -> DataFrame:
+    """What a parse observer is told: tokens read, rules entered and left."""
+    t = parse.trace(parse.parse(props(spark, d), grammars.json_syntax(), ("trace",)))
+    per = t.groupBy("doc_id", "event").agg(F.count(F.lit(1)).alias("per"))
+    return per.groupBy("event", "per").agg(F.count(F.lit(1)).alias("docs"))
+
+
 NAMES = ["EOI", "Mismatch", *grammars.JSON_SQL]
 
 
