@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,33 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import attach, table  # noqa: F401  (re-exported)
+from .. import session
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def attach(spark: SparkSession) -> SparkSession:
+    """Workers can import this package; Arrow batches of texts are smaller than Spark's default of 10,000 rows, if the
+    session has left it at that. Sessions for texts of some 100 KB on the average should lower it further."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "4000")
+    return session.attach(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return session.table(attach(spark), sf_dir, name)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Actions inside take Arrow batches of ``n`` rows at most: for rows that are large themselves."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
 
 #: ASCII lower case over UTF-8 bytes: only A-Z change, bytes of other characters stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

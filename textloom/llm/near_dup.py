@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Sketch, attach, lookup, small_batches, texts_of, written
+from .common import LOWER, Sketch, attach, batch_rows, lookup, small_batches, texts_of, written
 
 COMPONENTS = 64
 CHUNKS = 14
@@ -272,7 +272,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    attach(docs.sparkSession)
+    spark = attach(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,9 @@ def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     first = members.groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b")).where("a <> b")
     candidates = written(near(first, classes), "near")
     members = members.select("k", "node")
-    links = written(confirmed(candidates, sets_of(docs, wanted(candidates.select(F.explode(F.array("a", "b")).alias("node")), classes), width), percent), "confirmed")
+    sets = sets_of(docs, wanted(candidates.select(F.explode(F.array("a", "b")).alias("node")), classes), width)
+    with batch_rows(spark, 400):
+        links = written(confirmed(candidates, sets, percent), "confirmed")
     labels = components(links)
 
     # Keys that hold classes of several components. ``top`` is a key's largest component; a class of another one is to
@@ -326,10 +328,12 @@ def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     several = groups.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.max(F.struct("c", "label")).alias("t")).where("g > 1")
     mixed = labelled.join(several.select("k", F.col("t.label").alias("top")), "k")
     mixed = written(mixed.groupBy("top", "node").agg(F.first("label").alias("label")), "mixed")
-    close = written(meet(mixed, classes.select("node", F.col("sig").alias("x")), _within_distance, "top binary, node binary, label binary").distinct(), "close")
+    with batch_rows(spark, 64):
+        close = written(meet(mixed, classes.select("node", F.col("sig").alias("x")), _within_distance, "top binary, node binary, label binary").distinct(), "close")
     sets = sets_of(docs, wanted(close.select("node"), classes), width)
     more = meet(close, sets.select("node", F.col("s").alias("x")), _similar(percent), "a binary, b binary")
-    links = written(links.unionByName(more), "confirmed")
+    with batch_rows(spark, 4):
+        links = written(links.unionByName(more), "confirmed")
     labels = components(links)
 
     # Smallest id of each component, and back to the rows.

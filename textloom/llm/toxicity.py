@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import attach, crc32_of_id, small_batches, texts_of
 
 BITS = 20
-SAMPLE = 10_000
+SAMPLE = 6_000
 PASSES = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
 MEMO_WORDS = 300_000
@@ -106,7 +106,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from,
     picked = rows.join(F.broadcast(one), F.col("doc_id") == F.col("__id")).select("__id", "label", "text")
     got = picked.mapInArrow(make, T.StructType([T.StructField("__id", one.schema["__id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect()
     out = sorted((r["__id"], r["label"], bytes(r["x"])) for r in got)
-    return [(y, np.frombuffer(x, "<i4").astype(np.int64)) for _, y, x in out]
+    del got
+    return [(y, np.frombuffer(x, "<i4")) for _, y, x in out]
 
 
 def fit(examples: list[tuple[int, np.ndarray]], passes: int = PASSES, seed: int = 1) -> dict[int, float]:
