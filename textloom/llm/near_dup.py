@@ -231,13 +231,22 @@ def _within_distance(top: bytes, p: list[dict], m: list[dict]) -> list[tuple]:
 
 def _similar(percent: int) -> Callable:
     def compare(top: bytes, p: list[dict], m: list[dict]) -> list[tuple]:
-        """Confirmed links between the blocks: of each class in ``p``, one to each other component in ``m``."""
+        """Confirmed links between the blocks, as few as join the same components: a link between components that
+        links found before in these blocks have joined adds nothing."""
         sets = [np.frombuffer(c["x"], np.uint64) for c in m]
         size = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(m)), size)
         values = np.concatenate(sets)
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
+        up: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
         out = []
         for c in p:
             s = np.frombuffer(c["x"], np.uint64)
@@ -245,11 +254,11 @@ def _similar(percent: int) -> Callable:
             n = b - a
             places = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             both = np.bincount(owner[places], minlength=len(m))
-            linked: dict[bytes, bytes] = {}
             for j in np.flatnonzero(100 * both >= percent * (len(s) + size - both)).tolist():
-                if m[j]["label"] != c["label"]:
-                    linked.setdefault(m[j]["label"], m[j]["node"])
-            out += [(c["node"], node) for node in linked.values()]
+                x, y = find(c["label"]), find(m[j]["label"])
+                if x != y:
+                    up[x] = y
+                    out.append((c["node"], m[j]["node"]))
         return out
 
     return compare
