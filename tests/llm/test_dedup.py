@@ -111,12 +111,13 @@ def drop_lines(rows, least=line_dedup.MIN_CHARS):
     return out
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="abc", min_size=1, max_size=90), st.integers(0, 89), st.sampled_from(["sub", "del", "ins"]), st.sampled_from("abcx"))
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="abc", min_size=2, max_size=140), st.integers(0, 139), st.sampled_from(["sub", "del", "ins"]), st.sampled_from("abcx"))
 def test_half_keys_meet_within_an_edit(x, at, kind, c):
     at = min(at, len(x) - 1)
     y = x[:at] + c + x[at + 1 :] if kind == "sub" else x[:at] + x[at + 1 :] if kind == "del" else x[:at] + c + x[at:]
     assert one_edit(x, y) and set(line_dedup.half_keys(x)) & set(line_dedup.half_keys(y))
+    assert set(line_dedup.eighth_keys(x)) & set(line_dedup.eighth_keys(y))
 
 
 @pytest.mark.parametrize("n", [1, 2, 17, 300])

@@ -9,9 +9,10 @@ a line that equals another's variant is one insertion from it; two lines that gi
 same place are one substitution apart. All lines of such a group are within one edit of each other, so each needs to
 meet the group's earliest only: no pairs are made. The pair found is verified by its edit distance.
 
-Variants are made for those lines alone that can have a partner: of two lines within one edit, either the first or the
-last h characters agree (h by length class). Keys of such halves that two distinct lines share go into a sketch, and
-lines without such a key make no variants. Exact copies are reduced to one line first, on the map side.
+Variants are made for those lines alone that can have a partner: one edit falls into one part of a line, so two lines
+within one edit agree in all other parts. Keys of lines without one half that two distinct lines share go into a
+sketch; lines with such a key are looked at again without one of eight parts, by length, and the rest makes variants.
+Exact copies are reduced to one line first, on the map side.
 
 Defined results: null and empty texts have one empty line, which stays; rows with equal doc_id and text count as one
 and get equal results; null ids come first; empty tables give no rows; other columns pass through.
@@ -38,24 +39,39 @@ def normal(line: str) -> str:
     return line.strip().lower()
 
 
-def half_lengths(n: int) -> tuple[int, ...]:
-    """h of the halves of a line of n characters. Lines of n and n + 1 characters have one in common, which is at most
-    half of n."""
-    if n < 64:
-        return tuple({n // 2, (n - 1) // 2})
-    own = n // 32 * 16
-    return (own, own - 16) if n % 32 == 0 and n > 64 else (own, 31) if n == 64 else (own,)
+def grids(n: int) -> tuple[int, ...]:
+    """Lengths L <= n by which a line of n characters is parted. Lines of n and n + 1 characters have one in common."""
+    if n <= 64:
+        return (n, n - 1) if n > 1 else (n,)
+    own = n // 32 * 32
+    return (own, own - 32) if n % 32 == 0 else (own,)
 
 
-def half_keys(line: str) -> list[int]:
+def part_keys(line: str, parts: int, lengths: tuple[int, ...] = (0,)) -> list[int]:
+    """Hashes of the line without one of its parts, for each part: what is before it, counted from the line's beginning,
+    and what is after it, counted from its end. One edit falls into one part, so that two lines within one edit share
+    a key. ``lengths`` adds a length to the keys: (0, 1) parts lines whose lengths differ by more than one."""
     n = len(line)
+    raw = line.encode("utf-32-le", "surrogatepass")
     out = []
-    for h in half_lengths(n):
-        out.append(xxhash.xxh3_64_intdigest(line[:h].encode("utf-8", "surrogatepass"), h))
-        out.append(xxhash.xxh3_64_intdigest(line[n - h :].encode("utf-8", "surrogatepass"), h + (1 << 40)))
+    for length in grids(n):
+        cuts = [length * j // parts for j in range(parts + 1)]
+        for j in range(parts):
+            after = length - cuts[j + 1]
+            head = xxhash.xxh3_64_intdigest(raw[: 4 * cuts[j]], length * 64 + j)
+            both = xxhash.xxh3_64_intdigest(raw[4 * (n - after) :], head)
+            out += [both if lengths == (0,) else xxhash.xxh3_64_intdigest((n + k).to_bytes(8), both) for k in lengths]
     return out
 
 
+def half_keys(line: str) -> list[int]:
+    return part_keys(line, 2)
+
+
+def eighth_keys(line: str) -> list[int]:
+    return part_keys(line, 8, (0, 1))
+
+
 def digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
@@ -133,7 +149,7 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # Halves that two distinct lines share.
     def halves(lines) -> pa.RecordBatch | None:
         seen: dict[str, None] = dict.fromkeys(x[3] for x in lines if len(x[3]) >= min_chars)
-        pairs = [(k, xxhash.xxh3_64_intdigest(digest(x))) for x in seen for k in half_keys(x)]
+        pairs = [(k, d) for x in seen for d in (xxhash.xxh3_64_intdigest(digest(x)),) for k in half_keys(x)]
         a = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
         return _batch("half line", pa.array(a[:, 0]), pa.array(a[:, 1]))
 
@@ -152,7 +168,24 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return _batch("key line", pa.array([digest(x) for x in own], pa.binary()), pa.array(own, pa.string())) if own else None
 
     lines = _scan(docs, partners, "key binary, line string").groupBy("key").agg(F.min("line").alias("line"))
-    lines = written(lines.join(distinct.select("key", "pos"), "key"), "partners")
+    # The same by eighths and lengths, for those lines alone.
+    lines = written(lines, "partners")
+
+    def eighths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(k, xxhash.xxh3_64_intdigest(d)) for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in set(eighth_keys(x))]
+            a = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+            yield _batch("part line", pa.array(a[:, 0]), pa.array(a[:, 1]))
+
+    both = lines.select("key", "line").mapInArrow(eighths, "part long, line long").groupBy("part").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("part")
+    finer = Sketch(written(both, "eighths"), "part")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(finer.may_hold(np.array(eighth_keys(x), np.uint64)).any()) for x in batch.column(1).to_pylist()], pa.bool_()))
+
+    lines = lines.select("key", "line").mapInArrow(close, "key binary, line string")
+    lines = written(lines.join(distinct.select("key", "pos"), "key"), "close")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "line", 1 << 17):
