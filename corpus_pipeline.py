@@ -24,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that occurred earlier up to one edit. A document of which nothing but blank lines is left goes; one
-    that lost no line stays as it is. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Without lines that occurred earlier up to one edit, or, if short, as they are. A document of which nothing but
+    blank lines is left goes; one that lost no line stays as it is. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, short_copies=True)
     lost = F.size("dropped") > 0
     empty = lost & (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")) == 0)
     out = out.where(~empty).withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars")))

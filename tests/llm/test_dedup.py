@@ -165,6 +165,24 @@ def test_op9(spark, seed):
     assert sum(map(len, drops.values())) > 20
 
 
+SHORT = [(1, "les.\nand ornd.\n\nles."), (2, " LES.\ndes.\n\na"), (3, "a"), (4, "and ornd.\nb\n \nfifteen letters"), (5, "fifteen letters\nfifteen lettersx"), (6, "les.\na line that is long enough\na line that is long enouhg?\na line that is long enouhg")]
+
+
+def test_op9_query_drops_copies_of_short_lines(spark, patch_tables):
+    """Exact copies of any line that isn't blank go; short lines one edit apart stay."""
+    folder = patch_tables(documents=spark.createDataFrame(SHORT, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["dropped_lines"], r["n_kept_or_blank"]) for r in queries.op9_line_dedup(spark, folder).collect()}
+    assert got == {1: ("3", 3), 2: ("0", 3), 3: ("0", 0), 4: ("0", 3), 5: ("0", 1), 6: ("0,3", 2)}
+
+
+def test_line_stage_drops_copies_of_short_lines(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in SHORT], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {1: "les.\nand ornd.\n", 2: "des.\n\na", 4: "b\n \nfifteen letters", 5: "fifteen lettersx", 6: "a line that is long enough\na line that is long enouhg?"}
+
+
 def test_op9_empty_and_awkward(docs, rows, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
     out = line_dedup.dedup_lines(docs)

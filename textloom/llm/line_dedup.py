@@ -2,7 +2,8 @@
 
 Two lines are the same if their normal forms (trimmed, lower case) are at most one edit (insert, delete or substitute a
 character) apart. A line is dropped if a line that is the same occurs earlier, in the order of doc_id, then the text's
-hash, then the line's number. Lines whose normal form is shorter than ``min_chars`` are left alone.
+hash, then the line's number. Lines whose normal form is shorter than ``min_chars`` are left alone, or, with
+``short_copies``, dropped if an equal line that isn't blank occurs earlier: no edit is granted to them.
 
 Each distinct line emits all variants with one character deleted, and itself, as hashed keys, and equal keys meet:
 a line that equals another's variant is one insertion from it; two lines that give the same variant by deleting at the
@@ -134,12 +135,13 @@ def _batch(names: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols), names.split())
 
 
-def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """Occurrences to drop: doc_id, h (hash of the text), line_no."""
     attach(docs.sparkSession)
+    least = 1 if short_copies else min_chars  # of exact copies; variants are made from ``min_chars`` on
 
     def keys(lines) -> pa.RecordBatch | None:
-        own = [x for x in lines if len(x[3]) >= min_chars]
+        own = [x for x in lines if len(x[3]) >= least]
         return _batch("key doc_id h line_no", pa.array([digest(x[3]) for x in own], pa.binary()), *(pa.array([x[i] for x in own], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32()))))
 
     occurrences = _scan(docs, keys, "key binary, doc_id long, h long, line_no int")
@@ -224,7 +226,7 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     again = Sketch(repeated.select(short.alias("k")), "k")
 
     def candidates(lines) -> pa.RecordBatch | None:
-        own = [x for x in lines if len(x[3]) >= min_chars]
+        own = [x for x in lines if len(x[3]) >= least]
         d = [digest(x[3]) for x in own]
         ok = again.may_hold(np.fromiter((int.from_bytes(x[:8], "big") >> 4 for x in d), np.int64, len(d))) if d else []
         own, d = [x for x, o in zip(own, ok, strict=True) if o], [x for x, o in zip(d, ok, strict=True) if o]
@@ -247,10 +249,10 @@ def _meet(entries: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     return met.where(F.col("first.pos") < F.col("pos")).where(F.col("first.key") != F.col("key")).select("key", "first")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """``docs`` with the text without the dropped lines, and ``dropped``, the numbers of those lines (ascending, from
     0). A column of that name in ``docs`` is replaced."""
-    drops = near_lines(docs, min_chars).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    drops = near_lines(docs, min_chars, short_copies).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("dropped"))
     kept = [c for c in docs.columns if c.lower() != "dropped"]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])

@@ -57,7 +57,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, dropped lines, the digest of the text that stays."""
     docs = table(spark, sf_dir, "documents")
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text"))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text"), short_copies=True)
     n = F.size("dropped")
     left = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
     # A text that lost all its lines is empty, not one empty line.
