@@ -38,6 +38,20 @@ def test_chains_equal_a_plain_model(spark):
         assert mine == run_chain(program, {}), render(program)
 
 
+def test_chains_of_any_length_and_depth(spark):
+    """References through more than 64 assignments, and through more than 64 blocks."""
+    long = [("x0", 7)] + [(f"x{i}", f"x{i - 1}") for i in range(1, 80)]
+    deep = [("y", "base"), ("z", "none")]
+    for _ in range(70):
+        deep = [deep]
+    programs = [long, [("base", 5), *deep]]
+    docs = spark.createDataFrame([(i, render(p)) for i, p in enumerate(programs)], "doc_id long, text string")
+    p = parse.parse(docs, grammars.chain_syntax(), ("node", "cap"))
+    got = chains.resolve(parse.nodes(p), parse.captures(p)).collect()
+    assert {(r["key"], r["value"], r["status"]) for r in got if r["doc_id"] == 0} == {(f"x{i}", "7", "number") for i in range(80)}
+    assert {(r["key"], r["value"], r["status"]) for r in got if r["doc_id"] == 1} == {("base", "5", "number"), ("y", "5", "number"), ("z", None, "broken")}
+
+
 def test_modules(spark):
     texts = ["a = 1; b = n1::x; c = n2::none; d = n0::d; a = 5; bad = ;", "x = n0::a; y = n1::z; z = n1::y; w = n9::q;", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -23,47 +23,33 @@ def assignments(nodes: DataFrame, caps: DataFrame) -> DataFrame:
     return stmt.join(parts, ["doc_id", "stmt"]).where(F.col("key").isNotNull())
 
 
-def resolve(nodes: DataFrame, caps: DataFrame, max_depth: int = 64) -> DataFrame:
+def resolve(nodes: DataFrame, caps: DataFrame) -> DataFrame:
     """Per key: doc_id, key_id, key, value (a number's text or null), status (number or broken).
 
-    Each round follows every open reference one step: to the latest earlier assignment of the name in the block it
-    looks in, or, if there is none, outwards to the block around. Rounds end when nothing is open; their number is
-    bounded by nesting times chain length, and ``max_depth`` guards a cycle-free but absurd input.
+    First every reference finds the assignment it takes its value from: the latest earlier one of the name in the block
+    it looks in, or, if there is none, outwards in the block around; a round per level. Then pointer doubling follows
+    the assignments found, in a logarithmic number of rounds. Each step goes to an earlier place of the document, so
+    that both loops end when nothing is open, after no more rounds than there are blocks and assignments.
     """
     a = cut(assignments(nodes, caps))
     blocks = cut(nodes.where(F.col("name") == "Block").select(F.col("doc_id").alias("bd"), F.col("node_id").alias("b"), F.col("parent_id").alias("outer"), F.col("pre").alias("b_ord")))
-    d = a.select(F.col("doc_id").alias("d"), F.col("block_id").alias("db"), F.col("key").alias("dk"), F.col("ord").alias("do"), F.col("number").alias("dn"), F.col("ref").alias("dr"))
-    state = a.select("doc_id", "key_id", "key", "number", F.col("ref").alias("want"), F.col("block_id").alias("look_in"), F.col("ord").alias("before"))
-    ended = F.col("number").isNotNull() | F.col("want").isNull() | F.col("look_in").isNull()
-    done: list[DataFrame] = []
-    for _ in range(max_depth):
-        done.append(state.where(ended).select("doc_id", "key_id", "key", F.col("number").alias("value")))
-        todo = state.where(~ended)
-        if not todo.limit(1).count():
-            break
+    d = a.select(F.col("doc_id").alias("d"), F.col("block_id").alias("db"), F.col("key").alias("dk"), F.col("ord").alias("do"), F.col("key_id").alias("dt"))
+    todo = a.where("number IS NULL AND ref IS NOT NULL AND block_id IS NOT NULL").select("doc_id", "key_id", F.col("ref").alias("want"), F.col("block_id").alias("look_in"), F.col("ord").alias("before"))
+    links = a.limit(0).select("doc_id", "key_id", F.col("key_id").alias("to"))
+    while todo.limit(1).count():
         # As-of join: the latest assignment of the name before this place in the block.
         on = (F.col("doc_id") == F.col("d")) & (F.col("look_in") == F.col("db")) & (F.col("want") == F.col("dk")) & (F.col("do") < F.col("before"))
-        met = todo.join(d, on, "left").groupBy("doc_id", "key_id", "key", "want", "look_in", "before").agg(F.max(F.struct("do", "dn", "dr")).alias("hit"))
-        met = met.join(blocks, (F.col("doc_id") == F.col("bd")) & (F.col("look_in") == F.col("b")), "left")
-        found = F.col("hit.do").isNotNull()
-        # Found: follow its value from its own place. Else: the same name in the block around, before this block.
-        state = cut(
-            met.select(
-                "doc_id",
-                "key_id",
-                "key",
-                F.when(found, F.col("hit.dn")).alias("number"),
-                F.when(found, F.col("hit.dr")).otherwise(F.col("want")).alias("want"),
-                F.when(found, F.col("look_in")).otherwise(F.when(F.col("outer") > 0, F.col("outer"))).alias("look_in"),
-                F.when(found, F.col("hit.do")).otherwise(F.col("b_ord")).alias("before"),
-            )
-        )
-    else:
-        done.append(state.select("doc_id", "key_id", "key", F.lit(None).cast("string").alias("value")))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.withColumn("status", F.when(F.col("value").isNotNull(), "number").otherwise("broken"))
+        met = todo.join(d, on, "left").groupBy("doc_id", "key_id", "want", "look_in", "before").agg(F.max(F.struct("do", "dt")).alias("hit"))
+        met = cut(met.join(blocks, (F.col("doc_id") == F.col("bd")) & (F.col("look_in") == F.col("b")), "left"))
+        links = links.unionByName(met.where("hit.do IS NOT NULL").select("doc_id", "key_id", F.col("hit.dt").alias("to")))
+        # Not found: the same name in the block around, before this block.
+        todo = met.where("hit.do IS NULL AND outer > 0").select("doc_id", "key_id", "want", F.col("outer").alias("look_in"), F.col("b_ord").alias("before"))
+    state = cut(a.select("doc_id", "key_id", "key", F.col("number").alias("value")).join(links, ["doc_id", "key_id"], "left"))
+    while state.where("to IS NOT NULL").limit(1).count():
+        ahead = state.select("doc_id", F.col("key_id").alias("to"), F.col("value").alias("v"), F.col("to").alias("next"))
+        met = state.join(ahead, ["doc_id", "to"], "left")
+        state = cut(met.select("doc_id", "key_id", "key", F.coalesce("value", "v").alias("value"), F.col("next").alias("to")))
+    return state.select("doc_id", "key_id", "key", "value").withColumn("status", F.when(F.col("value").isNotNull(), "number").otherwise("broken"))
 
 
 def latest_by_ordinal(a: DataFrame) -> DataFrame:
