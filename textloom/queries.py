@@ -529,26 +529,33 @@ def attr_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return revisions.verified(old, new, 2).select("attr_id", "value", "updated_at")
 
 
-def in_thirds(df: DataFrame, by: str, name: str) -> str:
-    """A folder of files that arrive one after the other, in the order of ``by``."""
-    path = folder(df.sparkSession, name)
+def thirds(df: DataFrame, by: str) -> list[DataFrame]:
+    """The rows in three ranges of ``by``, in order; all at once if there are none."""
     low, high = df.agg(F.min(by), F.max(by)).first()
     if low is None:
-        df.write.parquet(path)
-        return path
+        return [df]
     step = (high - low) // 3 + 1
-    for k in range(3):
-        df.where((F.col(by) >= low + k * step) & (F.col(by) < low + (k + 1) * step)).write.mode("append").parquet(path)
+    return [df.where((F.col(by) >= low + k * step) & (F.col(by) < low + (k + 1) * step)) for k in range(3)]
+
+
+def in_thirds(df: DataFrame, by: str, name: str) -> str:
+    """A folder of files that arrive one after the other, in the order of ``by``."""
+    path = folder(df.sparkSession, name)
+    for part in thirds(df, by):
+        part.write.mode("append").parquet(path)
     return path
 
 
 @query("SELECT user_id AS doc_id, string_agg(event_type || chr(10), '' ORDER BY event_id DESC) AS text, max(event_id) + 1 AS revision FROM events GROUP BY 1")
 def edit_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The fold as a stream: documents' state is their text, versions are appended per micro-batch, the last counts."""
+    """The fold as a stream: documents' state is their text, versions are appended per micro-batch, the last counts.
+    Files of one third come in no order of seq, so the stream takes each third whole, in one micro-batch, as it arrives."""
     log = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") + 1).alias("seq"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.concat("event_type", F.lit("\n")).alias("text"))
-    source, out = in_thirds(log, "seq", "edit-log"), folder(spark, "versions")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(source)
-    edits.run_available(stream, lambda df, _: df.write.mode("append").parquet(out), folder(spark, "stream"))
+    source, out, checkpoint = folder(spark, "edit-log"), folder(spark, "versions"), folder(spark, "stream")
+    for part in thirds(log, "seq"):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source)
+        edits.run_available(stream, lambda df, _: df.write.mode("append").parquet(out), checkpoint)
     last = spark.read.schema(edits.VERSION).parquet(out).groupBy("doc_id")
     return last.agg(F.max_by("text", "revision").alias("text"), F.max("revision").alias("revision"))
 
