@@ -121,3 +121,12 @@ def test_patterns_are_given(name):
 def test_patterns_equal_the_automaton(name, text):
     g = GRAMMARS[name]()
     assert list(g.scan(text)) == list(g.scan_states(text))
+
+
+def test_token_at_site_of_any_length(spark, monkeypatch):
+    from textloom import queries
+
+    events = spark.createDataFrame([(1, '{"k": 10}'), (2, '{"k": 1000}'), (3, "{}")], "event_id long, props string")
+    monkeypatch.setattr(queries, "table", lambda *_: events)
+    got = {tuple(r) for r in queries.json_token_at_site(spark, "").collect()}
+    assert got == {(1, 4, "Colon", 4), (2, 5, "Blank", 5), (3, 1, "BraceClose", 1)}

@@ -130,8 +130,8 @@ def json_token_lookahead(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id AS doc_id, length(props) // 2 AS site, CASE WHEN props LIKE '{\"k\": %' THEN 'Colon' END AS name, 4::BIGINT AS start FROM events WHERE length(props) IN (8, 9)")
 def json_token_at_site(spark: SparkSession, d: str) -> DataFrame:
-    """The token at the middle of each text of 8 or 9 characters."""
-    docs = props(spark, d).where(F.length("text").isin(8, 9))
+    """The token at the middle of each text."""
+    docs = props(spark, d)
     sites = docs.select("doc_id", F.floor(F.length("text") / 2).cast("long").alias("site"))
     t = lex.token_at(lex.lex(docs, grammars.json_lexis()), sites)
     return t.select("doc_id", "site", "name", long("start").alias("start"))
