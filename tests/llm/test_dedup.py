@@ -116,8 +116,18 @@ def drop_lines(rows, least=line_dedup.MIN_CHARS):
 def test_half_keys_meet_within_an_edit(x, at, kind, c):
     at = min(at, len(x) - 1)
     y = x[:at] + c + x[at + 1 :] if kind == "sub" else x[:at] + x[at + 1 :] if kind == "del" else x[:at] + c + x[at:]
-    assert one_edit(x, y) and set(line_dedup.half_keys(x)) & set(line_dedup.half_keys(y))
-    assert set(line_dedup.eighth_keys(x)) & set(line_dedup.eighth_keys(y))
+    assert one_edit(x, y)
+    of = lambda keys: {k: (g, j) for k, g, j in keys}
+    a, b = of(line_dedup.half_keys(x)), of(line_dedup.half_keys(y))
+    assert a.keys() & b.keys()
+    a, b = (of(line_dedup.eighth_keys(t, [h[k] for k in a.keys() & b.keys()])) for t, h in ((x, a), (y, b)))
+    assert a.keys() & b.keys()
+    # A deletion in an eighth that both share makes them meet.
+    if x != y:
+        own, cut = zip(line_dedup.variant_hashes(x), line_dedup.variant_hashes(y), strict=True)
+        span = lambda t, m: range(*line_dedup.part_span(len(t), 8, *m))
+        met = [({int(cut[0][i]) for i in span(x, a[k])}, {int(cut[1][i]) for i in span(y, b[k])}) for k in a.keys() & b.keys()]
+        assert any(p & q or own[0] in q or own[1] in p for p, q in met)
 
 
 @pytest.mark.parametrize("n", [1, 2, 17, 300])
@@ -152,7 +162,7 @@ def test_op9(spark, seed):
     from pyspark.sql import functions as F
 
     rows = line_rows(seed)
-    df = spark.createDataFrame([(d, t, "a", k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, dropped string, n int").repartition(3)
+    df = spark.createDataFrame([(d, t, "a", k, 1, 2) for k, (d, t) in enumerate(rows)], "doc_id long, text string, dropped string, n int, __id int, __h int").repartition(3)
     hashes = {r["n"]: r["h"] for r in df.select("n", F.xxhash64("text").alias("h")).collect()}
     drops = drop_lines([(d, hashes[k], t) for k, (d, t) in enumerate(rows)])
     got = {r["n"]: r for r in line_dedup.dedup_lines(df).collect()}
@@ -161,7 +171,7 @@ def test_op9(spark, seed):
         gone = drops.get((d, hashes[k]), [])
         assert got[k]["dropped"] == gone, (d, t)
         left = "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone)
-        assert got[k]["text"] == (t if not gone else left)
+        assert (got[k]["text"], got[k]["__id"], got[k]["__h"]) == (t if not gone else left, 1, 2)
     assert sum(map(len, drops.values())) > 20
 
 
