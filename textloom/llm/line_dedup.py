@@ -13,9 +13,9 @@ the group's earliest only: no pairs are made. Every pair found is verified by it
 Which variants are made follows from the pigeonhole principle: one edit falls into one part of a line, so two lines
 within one edit agree in all else. First lines without one half are joined, then, for lines that share such a half with
 another line, lines without one eighth of that half. A line makes the variants of those eighths alone that it shares
-with another line. All these joins are exact and work on the distinct lines; nothing weakens as the corpus grows. A
-Bloom filter of bounded size is used once, to leave out lines that occur once before the last join; where it is full,
-that join moves a digest and a position per line of the corpus.
+with another line. These joins are exact. Bloom filters of bounded size stand before the first of them and before the
+last look at the corpus, and leave out lines that have no partner and no copy: where a filter is full, all distinct
+lines (or all positions) go to the join behind it, which is as much as the corpus and no more.
 
 Defined results: null and empty texts have one empty line, which stays; rows with equal doc_id and text count as one
 and get equal results; null ids come first; empty tables give no rows; other columns pass through, whatever their names;
@@ -146,13 +146,16 @@ def _columns(rows, kinds: list) -> list[pa.Array]:
     return [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
 
 
+MASK = (1 << 64) - 1
+
+
 def line_id(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
 def distinct_lines(docs: DataFrame, min_chars: int, short_copies: bool) -> DataFrame:
-    """Distinct lines: key, lid (64 bits of it), pos (of the earliest), n, line (null below ``min_chars``). Slices of
-    texts are reduced in the kernel, tasks before the shuffle."""
+    """Distinct lines: key, lid (64 bits of it), pos (of the earliest), n. Slices of texts are reduced in the kernel,
+    tasks before the shuffle."""
     least = 1 if short_copies else min_chars
 
     def reduce(rows) -> list[pa.Array]:
@@ -168,12 +171,37 @@ def distinct_lines(docs: DataFrame, min_chars: int, short_copies: bool) -> DataF
                 held[1] += 1
                 if at < held[0]:
                     held[0] = at
-        out = [(k := digest(x), line_id(k), at[1] if at[0] else None, at[2], at[3], n, x if len(x) >= min_chars else None) for x, (at, n) in seen.items()]
-        return _columns(out, [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()])
+        out = [(digest(x), at[1] if at[0] else None, at[2], at[3], n) for x, (at, n) in seen.items()]
+        return _columns(out, [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()])
+
+    found = _lines(docs, reduce, "key binary, doc_id long, h long, line_no int, c long")
+    return written(found.groupBy("key").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("pos"), F.sum("c").alias("n")), "lines")
+
+
+def half_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """key, lid and line of the distinct lines that share a half with another one, and of few others."""
+
+    def distinct(rows) -> list[str]:
+        return list(dict.fromkeys(x for *_, x in rows if len(x) >= min_chars))
+
+    def halves(rows) -> list[pa.Array]:
+        a = np.array([(k, line_id(digest(x)) & MASK) for x in distinct(rows) for k, _, _ in half_keys(x)], np.uint64).reshape(-1, 2).view(np.int64)
+        return [pa.array(a[:, 0]), pa.array(a[:, 1])]
+
+    shared = _lines(docs, halves, "part long, lid long").groupBy("part").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("part")
+    sketch = Sketch(written(shared, "halves"), "part")
+
+    def partners(rows) -> list[pa.Array]:
+        seen = distinct(rows)
+        keys = [[k for k, _, _ in half_keys(x)] for x in seen]
+        ok = sketch.may_hold(np.fromiter((i for x in keys for i in x), np.uint64, sum(map(len, keys))))
+        ends = np.cumsum([0] + [len(x) for x in keys])
+        hit = np.add.reduceat(ok, ends[:-1], dtype=np.int64) > 0 if seen else ok
+        own = [(digest(x), x) for x, o in zip(seen, hit.tolist(), strict=True) if o]
+        return _columns([(k, line_id(k), x) for k, x in own], [pa.binary(), pa.int64(), pa.string()])
 
-    found = _lines(docs, reduce, "key binary, lid long, doc_id long, h long, line_no int, c long, line string")
-    pos = F.struct("doc_id", "h", "line_no")
-    return written(found.groupBy("key").agg(F.first("lid").alias("lid"), F.min(pos).alias("pos"), F.sum("c").alias("n"), F.first("line").alias("line")), "lines")
+    found = _lines(docs, partners, "key binary, lid long, line string")
+    return written(found.groupBy("key").agg(F.first("lid").alias("lid"), F.first("line").alias("line")), "half-lines")
 
 
 def _shared_parts(lines: DataFrame, keys, name: str) -> DataFrame:
@@ -216,13 +244,12 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), *rest], ["v", "at", "lid", "doc_id", "h", "line_no"])
 
 
-def near_keys(distinct: DataFrame) -> DataFrame:
+def near_keys(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """Keys of the lines that have an earlier line within one edit: exact."""
-    lines = distinct.where("line IS NOT NULL").select("lid", "line", "key", "pos")
-    marked = lines.join(_shared_parts(lines.select("lid", "line"), _of_halves, "halves"), "lid")
-    lines = written(marked, "half-lines")
-    finer = _shared_parts(lines.select("lid", "line", "marks"), _of_eighths, "eighths")
-    lines = written(lines.drop("marks").join(finer, "lid"), "eighth-lines")
+    lines = half_lines(docs, min_chars)
+    marked = written(lines.join(_shared_parts(lines.select("lid", "line"), _of_halves, "halves"), "lid"), "marked")
+    finer = _shared_parts(marked.select("lid", "line", "marks"), _of_eighths, "eighths")
+    lines = written(marked.drop("marks").join(finer, "lid").join(distinct.select("key", "pos"), "key"), "eighth-lines")
     # ``at`` is the deleted place, -1 for the line itself. Deleting any of equal neighbours gives one variant; all places
     # are kept, for the partner may name another of them.
     own = lines.select("line", "marks", "lid", "pos.doc_id", "pos.h", "pos.line_no")
@@ -250,11 +277,11 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool =
     """Occurrences to drop: doc_id, h (hash of the text), line_no."""
     attach(docs.sparkSession)
     distinct = distinct_lines(docs, min_chars, short_copies)
-    near = near_keys(distinct).withColumn("near", F.lit(True))
+    near = near_keys(docs, distinct, min_chars).withColumn("near", F.lit(True))
     # Occurrences of lines that occur again, or have an earlier partner.
-    repeated = distinct.select("key", "lid", "pos", "n").join(near, "key", "left").where(F.coalesce("near", F.lit(False)) | (F.col("n") > 1))
-    repeated = written(repeated.withColumn("near", F.coalesce("near", F.lit(False))), "repeated")
-    again = Sketch(repeated, "lid")
+    repeated = distinct.join(near, "key", "left").where(F.coalesce("near", F.lit(False)) | (F.col("n") > 1))
+    repeated = written(repeated.select("key", "pos", "n", F.coalesce("near", F.lit(False)).alias("near")), "repeated")
+    again = Sketch(repeated.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("lid")), "lid")
     least = 1 if short_copies else min_chars
 
     def candidates(rows) -> list[pa.Array]:
@@ -267,7 +294,7 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool =
 
     found = _lines(docs, candidates, "key binary, doc_id long, h long, line_no int")
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = lookup(found, repeated.drop("lid"), "key", "n", total).where(F.col("near").isNotNull())
+    found = lookup(found, repeated, "key", "n", total).where(F.col("near").isNotNull())
     later = ~F.struct("doc_id", "h", "line_no").eqNullSafe(F.col("pos"))
     return found.where(F.col("near") | later).select("doc_id", "h", "line_no")
 
