@@ -207,7 +207,8 @@ def sets(text, width=2):
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def components(rows, width=2):
+def groups(rows, width=2):
+    """Per row a number of its component, None without a set."""
     s = [sets(t, width) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -220,11 +221,50 @@ def components(rows, width=2):
         for j in range(i):
             if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]):
                 up[top(i)] = top(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None and s[i]:
-            least[top(i)] = min(least.get(top(i), d), d)
-    return [(len(s[i]), d if not s[i] else least.get(top(i))) for i, (d, _) in enumerate(rows)]
+    return [top(i) if s[i] else None for i in range(len(rows))]
+
+
+def components(rows, width=2):
+    least, of = {}, groups(rows, width)
+    for g, (d, _) in zip(of, rows, strict=True):
+        if d is not None and g is not None:
+            least[g] = min(least.get(g, d), d)
+    return [(len(sets(t, width)), d if g is None else least.get(g)) for g, (d, t) in zip(of, rows, strict=True)]
+
+
+def passage_rows():
+    """Unlike texts that share a long passage, and near copies among them that one word tells apart."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(150):
+        own = [f"o{i}x{j}" for j in range(50)]
+        rows.append(" ".join(own) + " " + passage)
+        if i % 10 == 0:
+            own[rng.randrange(50)] = "changed"
+            rows.append(passage + " " + " ".join(own))
+    return list(enumerate(rows))
+
+
+def test_op10_shared_passage(spark):
+    """Keys that a common passage gives hold many components: the links in them are found all the same."""
+    rows = passage_rows()
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for (d, _), (_, c) in zip(rows, components(rows), strict=True)}
+    assert sum(d != c for d, c in got.items()) == 15
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 12), st.integers(0, 12), st.randoms())
+def test_prefixes_of_similar_sets_meet(n, less, more, rng):
+    """Under any one order, the prefixes of two sets with the similarity share an element."""
+    x = set(range(n))
+    y = set(rng.sample(sorted(x), max(0, n - less))) | set(range(100, 100 + more))
+    if 100 * len(x & y) >= 80 * len(x | y):
+        order = list(range(120))
+        rng.shuffle(order)
+        a, b = (set(sorted(s, key=order.__getitem__)[: near_dup.prefix_length(len(s), 80)]) for s in (x, y))
+        assert a & b
 
 
 def near_rows(seed):

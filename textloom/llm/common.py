@@ -52,11 +52,13 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary folder is chosen and
-    recorded in the session, so that later calls agree.
+    Only where the session leaves it unset and runs on one machine (as in tests) a temporary folder is chosen and
+    recorded in the session, so that later calls agree; a cluster must name a folder that all its machines share.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -151,7 +153,8 @@ def lookup(big: DataFrame, small: DataFrame, key: str, count: str, total: int) -
 
 # -- a filter of bounded size -----------------------------------------------------------------------------------
 
-#: Bits per key and most bits (64 MB). Beyond that more keys pass for nothing: slower, never wrong.
+#: Bits per key and most bits (64 MB). Beyond that more keys pass for nothing; an exact join always follows, so that a
+#: full filter costs a shuffle of what it would have left out and never changes a result.
 SKETCH_BITS, SKETCH_MOST = 24, 1 << 29
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -195,12 +198,17 @@ class Sketch:
         return ok
 
 
-@lru_cache(maxsize=3)
-def _loaded(uri: str, bits: int) -> np.ndarray:
+def parquet_files(uri: str) -> Iterator[pa.Table]:
+    """Tables of the Parquet files below ``uri``, on any worker."""
     fs, path = open_fs(uri)
-    held = np.zeros(max(1, bits >> 6), np.uint64)
     for info in fs.get_file_info(pafs.FileSelector(path)):
         if info.path.endswith(".parquet"):
-            got = pq.read_table(fs.open_input_file(info.path))
-            held[got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
+            yield pq.read_table(fs.open_input_file(info.path))
+
+
+@lru_cache(maxsize=3)
+def _loaded(uri: str, bits: int) -> np.ndarray:
+    held = np.zeros(max(1, bits >> 6), np.uint64)
+    for got in parquet_files(uri):
+        held[got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
     return held

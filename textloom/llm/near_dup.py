@@ -8,20 +8,26 @@ chunk emits a key for each component left out, so any such pair shares a key. At
 of 64) is four standard deviations above the mean of 12.8.
 
 Classes that share a key never meet all with all. First each class is compared with the smallest class of all its keys;
-links are confirmed on full sets and joined to components. Keys that still hold classes of several components are
-settled exactly: each class that isn't of a key's largest component is compared with all classes that came under that
-component, block by block, first by signature distance, then on full sets. Every pair that shares a key is then in one
-component or has been compared. Sets are made only for classes with candidates.
+links are confirmed on full sets and joined to components. Keys that still hold classes of several components, such as
+those that a passage common to unlike texts gives, are settled exactly: their classes are joined anew by the rarest
+shingles of their sets (of two sets with the similarity asked for, those prefixes must meet), so that a common passage
+brings nobody together; and each class that isn't of a prefix shingle's largest component is compared with the classes
+that came under that component, block by block, first by signature distance, then on full sets. Every pair that shares a
+key is then in one component, has been compared, or can't be similar.
+
+Bloom filters of bounded size spare work; where one is full, at most every class (with its keys, or its set) goes to the
+exact join behind it.
 
 Defined results: null texts and texts without words have no set, are linked with nothing and are kept; a text with fewer
 than ``width`` words has its whole sequence as one shingle; repeated rows have equal results; component_id is the
 smallest doc_id reachable (null ids are never the smallest unless there is no other), kept is doc_id = component_id; empty
-tables give no rows; other columns are not read.
+tables give no rows; other columns are not read. ``keep_one`` keeps one row of each component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Sketch, attach, batch_rows, lookup, small_batches, texts_of, written
+from .common import LOWER, Sketch, attach, batch_rows, lookup, parquet_files, scratch, small_batches, texts_of, written
 
 COMPONENTS = 64
 CHUNKS = 14
@@ -38,6 +44,9 @@ CHUNKS = 14
 DISTANCE = CHUNKS * 2 - 1
 #: Classes in a block, on the average, and blocks of one component that a task gets.
 BLOCK, TOGETHER = 128, 16
+BLOCK_BYTES = 4 << 20
+#: Bits of a shingle's hash by which rarity is counted: a table of 8 MB.
+RARITY_BITS = 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 MULTIPLIERS = np.random.default_rng(20).integers(1 << 62, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BOUNDS = [round(i * COMPONENTS / CHUNKS) for i in range(CHUNKS + 1)]
@@ -189,20 +198,35 @@ def wanted(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return written(nodes.distinct().join(classes.select("node", "rep"), "node"), "wanted")
 
 
+def mixed_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(top, node, label) of the classes under keys ``k`` that hold several components; ``top`` is a key's largest. A
+    class of another component is to be compared with the classes that came under that one."""
+    labelled = written(members.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    groups = labelled.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"))
+    several = groups.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.sum("c").alias("n_rows"), F.max(F.struct("c", "label")).alias("t")).where("g > 1")
+    several = several.select("k", F.col("t.label").alias("top"), "n_rows")
+    mixed = lookup(labelled, several, "k", "n_rows", labelled.count()).where(F.col("top").isNotNull())
+    return written(mixed.groupBy("top", "node").agg(F.first("label").alias("label")), "mixed")
+
+
 def meet(groups: DataFrame, payload: DataFrame, compare: Callable, schema: str) -> DataFrame:
     """Classes (top, node, label) compared within each top: those of other components with all.
 
-    Both sides are packed into blocks of about BLOCK classes; a row is a pair of blocks, compared at once, so that no row
-    is a pair of classes. Blocks of a large top go to several tasks, TOGETHER blocks each.
+    Both sides are packed into blocks of about BLOCK classes or BLOCK_BYTES; a row is a pair of blocks, compared at once,
+    so that no row is a pair of classes. Blocks of a large top go to several tasks, TOGETHER blocks each, and its rows
+    find their number of blocks by broadcast.
     """
-    g = groups.join(payload, "node").select("top", "node", "label", "x")
-    n = groups.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("top")).alias("n_other")).where("n_other > 0")
-    n = n.select("top", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("n_other") / BLOCK).alias("others"))
-    g = g.join(n, "top")
+    sized = groups.join(payload.select("node", F.octet_length("x").alias("bytes")), "node")
+    is_other = F.col("label") != F.col("top")
+    n = sized.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.count_if(is_other).alias("n_other"), F.sum(F.when(is_other, F.col("bytes"))).alias("b_other")).where("n_other > 0")
+    blocks = lambda c, b: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(b) / BLOCK_BYTES))
+    n = written(n.select("top", "n", blocks("n", "b").alias("blocks"), blocks("n_other", "b_other").alias("others")), "tops")
+    g = lookup(groups, n, "top", "n", groups.count()).where(F.col("blocks").isNotNull())
+    g = g.join(payload, "node").select("top", "node", "label", "x", "blocks", "others")
     item = F.struct("node", "label", "x")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    every = g.groupBy("top", block.alias("b")).agg(F.collect_list(item).alias("m")).select("top", F.floor(F.col("b") / TOGETHER).alias("salt"), "m")
-    other = g.where(F.col("label") != F.col("top")).groupBy("top", "blocks", F.pmod(F.xxhash64("node"), F.col("others")).alias("b")).agg(F.collect_list(item).alias("p"))
+    every = g.groupBy("top", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("b")).agg(F.collect_list(item).alias("m"))
+    every = every.select("top", F.floor(F.col("b") / TOGETHER).alias("salt"), "m")
+    other = g.where(is_other).groupBy("top", "blocks", F.pmod(F.xxhash64("node"), F.col("others")).alias("b")).agg(F.collect_list(item).alias("p"))
     other = other.select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / TOGETHER))).alias("salt"), "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +241,65 @@ def meet(groups: DataFrame, payload: DataFrame, compare: Callable, schema: str)
     return other.join(every, ["top", "salt"]).select("top", "p", "m").mapInArrow(run, schema)
 
 
+class Rarity:
+    """Counts of shingles over some sets, by RARITY_BITS bits of their hash, as a table in the shared folder that tasks load
+    by themselves. Any counts give a valid order; where shingles share a count, the order is only less apt."""
+
+    def __init__(self, sets: DataFrame):
+        self.path = scratch(sets.sparkSession, "rarity")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(1 << RARITY_BITS, np.int64)
+            for batch in small_batches(batches, "s"):
+                held += np.bincount(self.places(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), minlength=len(held))
+            at = np.flatnonzero(held)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["p", "c"])
+
+        out = sets.select("s").mapInArrow(count, "p long, c long").groupBy("p").agg(F.sum("c").alias("c"))
+        out.write.option("compression", "zstd").parquet(self.path)
+
+    @staticmethod
+    def places(s: np.ndarray) -> np.ndarray:
+        return (s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return _counts(self.path)[self.places(s)]
+
+
+@lru_cache(maxsize=2)
+def _counts(path: str) -> np.ndarray:
+    held = np.zeros(1 << RARITY_BITS, np.int64)
+    for got in parquet_files(path):
+        held[got["p"].to_numpy()] = got["c"].to_numpy()
+    return held
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """Rarest shingles of a set of n of which one must be in any set that is similar enough."""
+    return n - -(-n * percent // 100) + 1
+
+
+def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(k, node): the rarest shingles of each set, as many as the similarity makes necessary."""
+    rarity = Rarity(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "s", 4 << 20):
+            keys, n = [], []
+            for s in batch.column(1).to_pylist():
+                s = np.frombuffer(s, np.uint64)
+                k = prefix_length(len(s), percent)
+                keys.append(s[np.lexsort((s, rarity.of(s)))[:k]])
+                n.append(k)
+            raw = np.concatenate(keys).astype(">u8").tobytes()
+            ends = pa.array(np.arange(0, len(raw) + 1, 8, dtype=np.int32))
+            k = pa.BinaryArray.from_buffers(pa.binary(), len(raw) // 8, [None, ends.buffers()[1], pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([k, batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))], ["k", "node"])
+
+    return sets.select("node", "s").mapInArrow(run, "k binary, node binary")
+
+
 def _within_distance(top: bytes, p: list[dict], m: list[dict]) -> list[tuple]:
     """Classes of the two blocks that have one of another component within the signature distance."""
     x, y = (np.frombuffer(b"".join(c["x"] for c in side), "<u2").reshape(-1, COMPONENTS) for side in (p, m))
@@ -264,7 +347,7 @@ def _similar(percent: int) -> Callable:
     return compare
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs within the signature distance, and of sizes that can reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,23 +358,25 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     x = classes.select(F.col("node").alias("a"), F.col("sig").alias("sx"), F.col("n").alias("nx"))
     y = classes.select(F.col("node").alias("b"), F.col("sig").alias("sy"), F.col("n").alias("ny"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     return both.select("a", "b", "sx", "sy").mapInArrow(run, "a binary, b binary")
 
 
-def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, h (digest of the text), n_shingles, node (its class, null without a set), label (the
+    class that names its component) and component_id."""
     spark = attach(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("h"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
             sets = all_shingles(texts_of(batch), width)
             node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sig = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "h", "n", "node", "sig"])
 
-    signed = written(rows.mapInArrow(sign, "doc_id long, n long, node binary, sig binary"), "signed")
+    signed = written(rows.mapInArrow(sign, "doc_id long, h binary, n long, node binary, sig binary"), "signed")
     of_class = signed.where(F.col("node").isNotNull()).groupBy("node")
     classes = written(of_class.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
 
@@ -323,23 +408,19 @@ def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
 
     # Stars: each class and the smallest class of all its keys.
     first = members.groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b")).where("a <> b")
-    candidates = written(near(first, classes), "near")
+    candidates = written(near(first, classes, percent), "near")
     members = members.select("k", "node")
     sets = sets_of(docs, wanted(candidates.select(F.explode(F.array("a", "b")).alias("node")), classes), width)
     with batch_rows(spark, 400):
         links = written(confirmed(candidates, sets, percent), "confirmed")
     labels = components(links)
 
-    # Keys that hold classes of several components. ``top`` is a key's largest component; a class of another one is to
-    # be compared with all classes that came under that component.
-    labelled = members.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
-    groups = labelled.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"))
-    several = groups.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.max(F.struct("c", "label")).alias("t")).where("g > 1")
-    mixed = labelled.join(several.select("k", F.col("t.label").alias("top")), "k")
-    mixed = written(mixed.groupBy("top", "node").agg(F.first("label").alias("label")), "mixed")
+    # Keys that hold classes of several components.
+    crowded = mixed_groups(members, labels)
+    sets = sets_of(docs, wanted(crowded.select("node"), classes), width)
+    mixed = mixed_groups(rare_prefixes(sets, percent), labels)
     with batch_rows(spark, 64):
         close = written(meet(mixed, classes.select("node", F.col("sig").alias("x")), _within_distance, "top binary, node binary, label binary").distinct(), "close")
-    sets = sets_of(docs, wanted(close.select("node"), classes), width)
     more = meet(close, sets.select("node", F.col("s").alias("x")), _similar(percent), "a binary, b binary")
     with batch_rows(spark, 4):
         links = written(links.unionByName(more), "confirmed")
@@ -347,11 +428,41 @@ def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
 
     # Smallest id of each component, and back to the rows.
     named = classes.select("node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    linked = named.join(labels.select(F.col("label").alias("__l")).distinct(), F.col("label") == F.col("__l"), "left_semi")
-    least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = linked.join(least, "label").select("node", "component_id", "copies")
-    alone = named.join(linked.select("node"), "node", "left_anti").select("node", F.col("rep").alias("component_id"), "copies")
-    known = written(ids.unionByName(alone).where("copies > 1 OR component_id IS NOT NULL"), "components")
-    out = lookup(signed.select("doc_id", F.col("n").alias("n_shingles"), "node"), known, "node", "copies", signed.count())
+    joined = named.join(labels.select(F.col("label").alias("__l")).distinct(), F.col("label") == F.col("__l"), "left_semi")
+    least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
+    ids = joined.join(least, "label").select("node", "label", "component_id", "copies")
+    alone = named.join(joined.select("node"), "node", "left_anti").select("node", "label", F.col("rep").alias("component_id"), "copies")
+    known = written(ids.unionByName(alone), "components")
+    return lookup(signed.select("doc_id", "h", F.col("n").alias("n_shingles"), "node"), known, "node", "copies", signed.count())
+
+
+def classify(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    out = linked(docs, width, percent)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id (null after all others), among those the
+    one with the smallest digest of its text. Rows equal in both are one document, of which one row stays (the smallest
+    by its columns). Rows without a set all stay. Ids need not differ: rows are told apart by id and text."""
+    out = written(linked(docs, width, percent).where(F.col("node").isNotNull()).select("doc_id", "h", "label"), "linked")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    best = out.groupBy("label").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    judged = lookup(out, written(best, "best"), "label", "n", out.count())
+    gone = judged.where(F.col("best").isNotNull() & ~place.eqNullSafe(F.col("best"))).select("doc_id", "h").distinct()
+    again = out.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    def marked(ids: DataFrame) -> DataFrame:
+        return written(ids.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")), "marked")
+
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("doc_id").cast("long").alias("__id"), F.unhex(F.md5(F.col("text").cast("string").cast("binary"))).alias("__digest"))
+    same = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__digest") == F.col("__h"))
+    rest = rows.join(marked(gone), same, "left_anti")
+    twice = marked(again)
+    if twice.limit(1).count():
+        one = rest.join(twice, same, "left_semi").groupBy("__id", "__digest").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
+        rest = rest.join(twice, same, "left_anti").select(*names).unionByName(one)
+    return rest.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
