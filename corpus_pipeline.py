@@ -1,7 +1,11 @@
 """Corpus pipeline: toxicity, line dedup, MinHash near-dedup, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of documents.
+one's ``docs``. All but the last return the columns of documents; other columns are left out.
+
+Defined results, for every stage: an empty table gives no rows; a null or empty text has no words, so that it is clean,
+loses no lines, is nobody's copy and has no tokens; rows are judged by their own text, whatever their id, be it null or
+repeated; rows that repeat in id and text fare alike until near-dedup, which keeps one of them. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -34,9 +38,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id. Shingles of five words."""
-    gone = near_dup.classify(docs, width=5).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates stays: that with the smallest id, then the smallest digest of its text.
+    Shingles of five words, a similarity of 0.8. Rows are told apart by id and text, so that rows of one id with
+    different texts are judged each by its own; texts without words all stay."""
+    return near_dup.keep_one(docs.select(*COLUMNS), width=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
