@@ -198,10 +198,10 @@ def wanted(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return written(nodes.distinct().join(classes.select("node", "rep"), "node"), "wanted")
 
 
-def mixed_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(top, node, label) of the classes under keys ``k`` that hold several components; ``top`` is a key's largest. A
-    class of another component is to be compared with the classes that came under that one."""
-    labelled = written(members.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label")), "labelled")
+def mixed_groups(labelled: DataFrame) -> DataFrame:
+    """(top, node, label) of the classes under keys ``k`` that hold several components, from (k, node, label); ``top`` is
+    a key's largest component. A class of another one is to be compared with the classes that came under that one."""
+    labelled = written(labelled, "labelled")
     groups = labelled.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"))
     several = groups.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.sum("c").alias("n_rows"), F.max(F.struct("c", "label")).alias("t")).where("g > 1")
     several = several.select("k", F.col("t.label").alias("top"), "n_rows")
@@ -212,10 +212,11 @@ def mixed_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
 def meet(groups: DataFrame, payload: DataFrame, compare: Callable, schema: str) -> DataFrame:
     """Classes (top, node, label) compared within each top: those of other components with all.
 
-    Both sides are packed into blocks of about BLOCK classes or BLOCK_BYTES; a row is a pair of blocks, compared at once,
-    so that no row is a pair of classes. Blocks of a large top go to several tasks, TOGETHER blocks each, and its rows
-    find their number of blocks by broadcast.
+    A top of at most BLOCK classes and BLOCK_BYTES is a row. Both sides of a larger one are packed into blocks of about
+    that size, and a row is a pair of blocks; no row is a pair of classes. Blocks of a large top go to several tasks,
+    TOGETHER blocks each, and its rows find their number of blocks by broadcast.
     """
+    names = [x.split()[0] for x in schema.split(", ")]
     sized = groups.join(payload.select("node", F.octet_length("x").alias("bytes")), "node")
     is_other = F.col("label") != F.col("top")
     n = sized.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.count_if(is_other).alias("n_other"), F.sum(F.when(is_other, F.col("bytes"))).alias("b_other")).where("n_other > 0")
@@ -224,21 +225,25 @@ def meet(groups: DataFrame, payload: DataFrame, compare: Callable, schema: str)
     g = lookup(groups, n, "top", "n", groups.count()).where(F.col("blocks").isNotNull())
     g = g.join(payload, "node").select("top", "node", "label", "x", "blocks", "others")
     item = F.struct("node", "label", "x")
-    every = g.groupBy("top", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("b")).agg(F.collect_list(item).alias("m"))
-    every = every.select("top", F.floor(F.col("b") / TOGETHER).alias("salt"), "m")
-    other = g.where(is_other).groupBy("top", "blocks", F.pmod(F.xxhash64("node"), F.col("others")).alias("b")).agg(F.collect_list(item).alias("p"))
-    other = other.select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / TOGETHER))).alias("salt"), "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                top, p, m = (batch.column(c)[i].as_py() for c in range(3))
-                rows = compare(top, p, m)
+                top, m, p = (batch.column(c)[i].as_py() for c in range(3))
+                rows = compare(top, [c for c in m if c["label"] != top] if p is None else p, m)
                 if rows:
-                    names = [x.split()[0] for x in schema.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names)
 
-    return other.join(every, ["top", "salt"]).select("top", "p", "m").mapInArrow(run, schema)
+    whole = g.where("blocks = 1").groupBy("top").agg(F.collect_list(item).alias("m"))
+    whole = whole.select("top", "m", F.lit(None).cast(whole.schema["m"].dataType).alias("p")).mapInArrow(run, schema)
+    if not n.where("blocks > 1").limit(1).count():
+        return whole
+    large = g.where("blocks > 1")
+    every = large.groupBy("top", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("b")).agg(F.collect_list(item).alias("m"))
+    every = every.select("top", F.floor(F.col("b") / TOGETHER).alias("salt"), "m")
+    other = large.where(is_other).groupBy("top", "blocks", F.pmod(F.xxhash64("node"), F.col("others")).alias("b")).agg(F.collect_list(item).alias("p"))
+    other = other.select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / TOGETHER))).alias("salt"), "p")
+    return whole.unionByName(other.join(every, ["top", "salt"]).select("top", "m", "p").mapInArrow(run, schema))
 
 
 class Rarity:
@@ -281,7 +286,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(k, node): the rarest shingles of each set, as many as the similarity makes necessary."""
+    """(shingle, node): the rarest shingles of each set, as many as the similarity makes necessary."""
     rarity = Rarity(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +297,11 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 k = prefix_length(len(s), percent)
                 keys.append(s[np.lexsort((s, rarity.of(s)))[:k]])
                 n.append(k)
-            raw = np.concatenate(keys).astype(">u8").tobytes()
-            ends = pa.array(np.arange(0, len(raw) + 1, 8, dtype=np.int32))
-            k = pa.BinaryArray.from_buffers(pa.binary(), len(raw) // 8, [None, ends.buffers()[1], pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([k, batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))], ["k", "node"])
+            if n:
+                owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), owner], ["shingle", "node"])
 
-    return sets.select("node", "s").mapInArrow(run, "k binary, node binary")
+    return sets.select("node", "s").mapInArrow(run, "shingle long, node binary")
 
 
 def _within_distance(top: bytes, p: list[dict], m: list[dict]) -> list[tuple]:
@@ -416,9 +420,10 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labels = components(links)
 
     # Keys that hold classes of several components.
-    crowded = mixed_groups(members, labels)
+    crowded = mixed_groups(members.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label")))
     sets = sets_of(docs, wanted(crowded.select("node"), classes), width)
-    mixed = mixed_groups(rare_prefixes(sets, percent), labels)
+    by_shingle = crowded.join(rare_prefixes(sets, percent), "node").select(F.unhex(F.lpad(F.hex(F.xxhash64("top", "shingle")), 16, "0")).alias("k"), "node", "label")
+    mixed = mixed_groups(by_shingle)
     with batch_rows(spark, 64):
         close = written(meet(mixed, classes.select("node", F.col("sig").alias("x")), _within_distance, "top binary, node binary, label binary").distinct(), "close")
     more = meet(close, sets.select("node", F.col("s").alias("x")), _similar(percent), "a binary, b binary")
