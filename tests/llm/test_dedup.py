@@ -57,11 +57,11 @@ def items_and_docs(seed):
     return items, docs
 
 
-@pytest.mark.parametrize("seed, limit", [(1, 10**9), (2, 60)])
+@pytest.mark.parametrize("seed, limit", [(1, 10**9), (2, 60), (3, 7)])
 def test_op6(spark, monkeypatch, seed, limit):
     """One block of items, and many."""
     items, docs = items_and_docs(seed)
-    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (limit,))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", limit)
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, items string, n_words int")
     got = decontaminate.contamination(df, bench).collect()

@@ -10,8 +10,10 @@ run of words is verified by equality, over windows of the item's size.
 Words: A-Z are lower-cased, then maximal runs of characters other than U+0000-002F, U+003A-0060 and U+007B-007F. All
 separators are ASCII, so the split works on UTF-8 bytes.
 
-Items are taken in blocks of bounded size (BLOCK_WORDS words), each block's index broadcast to one scan of the
-documents; each block's scan merges its hits into those of the blocks before. Documents are never broadcast.
+Word frequencies are counted in one scan of the documents, for the words of all items, and kept as a table. Items are
+taken in blocks of bounded size (BLOCK_WORDS words; a longer item is cut into overlapping pieces), each block's index
+broadcast to one scan of the documents; each block's scan merges its hits into those of the blocks before. Benchmarks of
+up to BLOCK_WORDS words take two scans in all, larger ones a scan per block more. Documents are never broadcast.
 
 Defined results: null text or item has no words, an empty table of items leaves all documents clean, an empty table of
 documents gives no rows. Rows of one item_id count as one item; null item_ids are left out. Repeated documents get a
@@ -21,19 +23,22 @@ row each. An item's windows that overlap hit each document word once.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, attach, small_batches, written
+from .common import LOWER, Sketch, attach, small_batches, written
 
 WIDTH = 13
 #: A block's index and the next block's items are what the driver holds and broadcasts: some 100 MB at most.
 BLOCK_WORDS = 250_000
+COUNTED = 200_000
 #: Lower case, and a space for each separator.
 WORDS = bytes(LOWER[c] if c >= 0x80 or 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
@@ -89,31 +94,69 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def token_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """Documents that hold each word of ``vocabulary`` (a block's words: bounded), over the whole corpus."""
+def word_table(texts: DataFrame, only: Sketch | None = None) -> DataFrame:
+    """(word, n): rows that hold each word, or each word that may be in ``only``. A task's counts are given out when they
+    reach COUNTED words."""
+
+    def counts(n: Counter) -> pa.RecordBatch:
+        names = list(n)
+        if only is not None and names:
+            ok = only.may_hold(np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names)))
+            names = [w for w, o in zip(names, ok.tolist(), strict=True) if o]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([n[w] for w in names], pa.int64())], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[bytes, int] = defaultdict(int)
+        n: Counter = Counter()
         for batch in small_batches(batches, "text", 4 << 20):
             for t in batch.column(0).to_pylist():
-                for w in vocabulary.intersection(words(t)):
-                    n[w] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+                n.update(set(words(t)))
+            if len(n) > COUNTED:
+                yield counts(n)
+                n = Counter()
+        yield counts(n)
+
+    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def token_frequencies(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(word, n): documents of the whole corpus that hold each word of the items. The items' words reach the scan as a
+    filter of bounded size; the join behind it is exact."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.array([xxhash.xxh64_intdigest(w) for w in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k.view(np.int64))], ["word", "k"])
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, n long")
-    return {bytes(r["word"]): r["n"] for r in got.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    vocabulary = written(word_table(items).select("word").mapInArrow(keyed, "word binary, k long"), "vocabulary")
+    return written(word_table(docs, Sketch(vocabulary, "k")).join(vocabulary.select("word"), "word", "left_semi"), "frequencies")
+
+
+def of_words(frequencies: DataFrame, block: list[tuple[object, str]]) -> dict[bytes, int]:
+    """The frequencies of a block's words."""
+    vocabulary = {w for _, t in block for w in words(t)}
+    if not vocabulary:
+        return {}
+    wanted = frequencies.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")
+    return {bytes(r["word"]): r["n"] for r in frequencies.join(wanted, "word", "left_semi").collect()}
+
+
+def pieces(text: str, limit: int, width: int) -> Iterator[str]:
+    """A text's words in pieces of ``limit`` that overlap by ``width - 1``, so that no window is lost or new."""
+    w = words(text)
+    for i in range(0, max(1, len(w) - width + 1), limit):
+        yield b" ".join(w[i : i + limit + width - 1]).decode()
 
 
-def item_blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str]]]:
-    """Items by blocks of about ``limit`` words each, one block in the driver's memory at a time."""
+def item_blocks(items: DataFrame, limit: int, width: int) -> Iterator[list[tuple[object, str]]]:
+    """Items (or pieces of long ones) by blocks of about ``limit`` words, one block in the driver's memory at a time."""
     block, held = [], 0
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
-    for row in rows.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        held += len(row["text"]) // 5 + 1
-        if held >= limit:
-            yield block
-            block, held = [], 0
+    for row in items.toLocalIterator():
+        for part in pieces(row["text"], limit, width):
+            block.append((row["item_id"], part))
+            held += part.count(" ") + 1
+            if held >= limit:
+                yield block
+                block, held = [], 0
     if block:
         yield block
 
@@ -124,7 +167,7 @@ SPANS_ARROW = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (default doc_id) with n_words, n_hit, spans of hit words, items (ids as strings,
+    """Columns ``keep`` of ``docs`` (default doc_id; those named like a result column give way to it) with n_words, n_hit, spans of hit words, items (ids as strings,
     sorted) and contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     spark = attach(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
@@ -159,16 +202,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, kee
         out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:n_out], *HITS]))
         return out if last else written(out, "contamination")
 
-    blocks = item_blocks(benchmark)
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
+    blocks = item_blocks(items, BLOCK_WORDS, width)
     block = next(blocks, [])
+    frequencies = token_frequencies(docs, items) if block else None
     while True:
         after = next(blocks, None)
-        vocabulary = {w for _, t in block for w in words(t)}
-        rows = scan(rows, WindowIndex(block, token_frequencies(docs, vocabulary) if vocabulary else {}, width), after is None)
+        rows = scan(rows, WindowIndex(block, of_words(frequencies, block) if block else {}, width), after is None)
         if after is None:
             break
         block = after
-    out = rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "spans", "items")
+    own = ("n_words", "n_hit", "spans", "items", "contaminated")
+    out = rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c.lower() not in own], *own[:-1])
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

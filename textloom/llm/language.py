@@ -4,8 +4,8 @@ Words of a line form a chain. Each word emits affix, character n-gram, shape and
 interact through a learned transition matrix, and forward-backward gives each word's label marginals, so that a
 code-switched line may change its language. A text's language is the label with the largest mean marginal over its words.
 
-Learning: ``sample`` labelled texts per language with the smallest hash of their id (a bounded sample), whole lines of
-them as chains; a share of the chains is spliced from lines of two languages, so that transitions see switches. The
+Learning: ``sample`` labelled texts per language with the smallest hash of id and text (a bounded sample), whole lines
+of them as chains; a share of the chains is spliced from lines of two languages, so that transitions see switches. The
 likelihood's gradient comes from forward-backward as well; steps are by Adam.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows without a language teach nothing;
@@ -28,15 +28,16 @@ from pyspark.sql import functions as F
 from .common import attach, crc32_of_id, small_batches
 
 UNDETERMINED = "und"
-#: Texts per language, and words of them, that the driver gets for learning.
+#: Texts per language, characters of them, and languages (those with the most labelled rows) that are learned from.
 SAMPLE = 150
 SAMPLE_CHARS = 2_000_000
+LABELS = 128
 BITS = 17
 STEPS = 60
 RATE, DECAY = 0.2, 1e-3
 SPLICED = 0.3
 LEXICON = 400
-MEMO_WORDS = 250_000
+MEMO_WORDS, MEMO_CHARS = 250_000, 16_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -46,14 +47,14 @@ def chains(text: str) -> list[list[str]]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed prefixes, suffixes, inner n-grams, length class and the word itself."""
-    marked = f"^{word[:40]}$"
+    """Hashed prefixes, suffixes, inner n-grams, length class and the word itself, over all its letters."""
+    marked = f"^{word}$"
     names = {marked, f"n{min(len(word), 12)}"}
     for n in (1, 2, 3, 4):
         names.add("p" + marked[: n + 1])
         names.add("s" + marked[-n - 1 :])
     for n in (2, 3):
-        names.update("g" + marked[i : i + n] for i in range(min(len(marked), 24) - n + 1))
+        names.update("g" + marked[i : i + n] for i in range(len(marked) - n + 1))
     return [xxhash.xxh32_intdigest(x) >> (32 - BITS) for x in names]
 
 
@@ -63,6 +64,7 @@ class Crf:
     def __init__(self, labels: list[str], emit: np.ndarray, move: np.ndarray, start: np.ndarray, lexicon: dict[str, np.ndarray]):
         self.labels, self.emit, self.move, self.start, self.lexicon = labels, emit, move, start, lexicon
         self.memo: dict[str, int] = {}
+        self.held = 0
         self.rows = np.zeros((1024, len(labels)), np.float32)
 
     def __getstate__(self):
@@ -73,8 +75,8 @@ class Crf:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores of words, made once per distinct word (up to MEMO_WORDS) and worker."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
+        if len(self.memo) > MEMO_WORDS or self.held > MEMO_CHARS:
+            self.memo, self.held = {}, 0
         new = [w for w in set(words) if w not in self.memo]
         need = len(self.memo) + len(new)
         if need > len(self.rows):
@@ -89,6 +91,7 @@ class Crf:
                 if w in self.lexicon:
                     sums[k] += self.lexicon[w]
                 self.memo[w] = first + k
+                self.held += len(w)
             self.rows[first : first + len(f)] = sums
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         return self.rows[at]
@@ -211,18 +214,23 @@ def learn(texts: list[tuple[str, str]], seed: int = 3, steps: int = STEPS) -> Cr
 
 
 def training_texts(docs: DataFrame, learn_from, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``sample`` texts per language (those with the smallest id hash), and at most SAMPLE_CHARS characters of
-    whole texts per language. Ids are ranked first, texts are fetched for the ranked ones alone."""
+    """At most ``sample`` texts per language (those with the smallest hash of id and text), at most SAMPLE_CHARS characters
+    of whole texts per language, and at most LABELS languages. Hashes are ranked first, texts are fetched for the ranked
+    ones alone; rows that repeat a text under one id and language count once."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(learn_from)
-    order = F.struct(F.xxhash64(F.lit(11), "doc_id").alias("h"), F.col("doc_id").alias("id"), F.length("text").alias("n"), F.xxhash64("text").alias("t"))
-    # Two steps, so that no task ranks a whole language: the first of each of 64 buckets, then the first of those.
-    salted = rows.select("lang", order.alias("o")).withColumn("b", F.pmod(F.col("o.h"), F.lit(64)))
-    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "b").orderBy("o.h", "o.id"))).where(F.col("r") <= sample)
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o.h", "o.id"))).where(F.col("r") <= sample)
-    ranked = ranked.withColumn("chars", F.sum("o.n").over(Window.partitionBy("lang").orderBy("r"))).where((F.col("chars") <= SAMPLE_CHARS) | (F.col("r") == 1))
-    picked = F.broadcast(ranked.select(F.col("o.id").alias("__id"), F.col("o.t").alias("__t")).distinct())
-    got = rows.join(picked, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__t"))).select("doc_id", "lang", "text").collect()
-    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"]))]
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    slim = rows.select("lang", F.xxhash64(F.lit(11), "doc_id", "text").alias("h"), F.length("text").alias("n"))
+    # The hashes are spread evenly: of n rows about 8 * sample lie below a bound of that share, and no task ranks more.
+    langs = slim.groupBy("lang").agg(F.approx_count_distinct("h").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LABELS)
+    bound = F.least(F.lit(1.0), F.lit(8.0 * sample) / F.col("rows")) * 2.0**64 - 2.0**63
+    near = slim.join(F.broadcast(langs.select(F.col("lang").alias("__l"), bound.alias("__b"))), (F.col("lang") == F.col("__l")) & (F.col("h") <= F.col("__b")))
+    near = near.groupBy("lang", "h").agg(F.max("n").alias("n"))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
+    ranked = ranked.withColumn("chars", F.sum("n").over(Window.partitionBy("lang").orderBy("r"))).where((F.col("chars") <= SAMPLE_CHARS) | (F.col("r") == 1))
+    picked = F.broadcast(ranked.select(F.col("lang").alias("__l"), F.col("h").alias("__h")))
+    found = rows.join(picked, (F.xxhash64(F.lit(11), "doc_id", "text") == F.col("__h")) & (F.col("lang") == F.col("__l")))
+    got = found.groupBy("lang", "__h").agg(F.min("text").alias("text")).collect()
+    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["__h"]))]
 
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:

@@ -2,7 +2,7 @@
 
 Features of a text: its distinct hashed words, word pairs and pairs with one word between (case folded). The model is
 fitted by FTRL-proximal (per-coordinate learning rates, L1 and L2) on a bounded sample of labelled rows:
-``sample`` rows (default SAMPLE) with the smallest hash of their id. L1 leaves few weights; they are broadcast as
+``sample`` rows (default SAMPLE) with the smallest hash of their id, SAMPLE_CHARS characters at most. L1 leaves few weights; they are broadcast as
 (index, weight) pairs, at most 2**BITS of them.
 
 Defined results: a null or empty text has no features and scores by the bias; a null label teaches nothing; labels
@@ -18,14 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import attach, crc32_of_id, small_batches, texts_of
 
 BITS = 20
-SAMPLE = 6_000
+#: Labelled ids, and characters of their texts, that the model is fitted on at most.
+SAMPLE, SAMPLE_CHARS = 6_000, 30_000_000
 PASSES = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
 MEMO_WORDS = 300_000
@@ -91,20 +92,26 @@ class Ftrl:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from, sample: int) -> list[tuple[int, np.ndarray]]:
-    """(label, distinct features) of the ``sample`` rows with the smallest id hashes. Ids and labels are cut down
-    before they meet the texts, features are made by the executors: what the driver gets is bounded by ``sample``."""
+    """(label, distinct features) of at most ``sample`` labelled ids, those with the smallest hashes, and of SAMPLE_CHARS
+    characters of whole texts. Ids are cut down before they meet the texts, features are made by the executors, one text
+    counts per id (that with the smallest hash): what the driver gets is bounded by these parameters."""
     attach(docs.sparkSession)
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    one = one.where(learn_from).withColumn("__h", F.xxhash64(F.lit(7), "doc_id")).orderBy("__h", "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), "label")
+    one = one.where(learn_from).withColumn("__h", F.xxhash64(F.lit(7), "doc_id")).orderBy("__h", "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), "label", "__h")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("text").cast("string")).alias("__t"))
+    # Which text of which id, by hashes and lengths alone; at most ``sample`` rows are ranked.
+    slim = rows.join(F.broadcast(one), F.col("doc_id") == F.col("__id")).groupBy("__id", "label", "__h").agg(F.min(F.struct("__t", F.length("text").alias("n"))).alias("x"))
+    chars = F.sum("x.n").over(Window.orderBy("__h", "__id"))
+    picked = slim.withColumn("chars", chars).where(F.col("chars") <= SAMPLE_CHARS).select("__id", "label", F.col("x.__t").alias("__p"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4 << 20):
             x = [np.unique(feature_ids(t)).astype("<i4").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["__id", "label", "x"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    picked = rows.join(F.broadcast(one), F.col("doc_id") == F.col("__id")).select("__id", "label", "text")
-    got = picked.mapInArrow(make, T.StructType([T.StructField("__id", one.schema["__id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect()
+    found = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("__id")) & (F.col("__t") == F.col("__p"))).select("__id", "label", "text")
+    made = found.mapInArrow(make, T.StructType([T.StructField("__id", one.schema["__id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())]))
+    got = made.groupBy("__id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect()
     out = sorted((r["__id"], r["label"], bytes(r["x"])) for r in got)
     del got
     return [(y, np.frombuffer(x, "<i4")) for _, y, x in out]
@@ -127,8 +134,7 @@ def fit(examples: list[tuple[int, np.ndarray]], passes: int = PASSES, seed: int
 
 
 def score(docs: DataFrame, weights: dict[int, float], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with the score of each text; a column named score in ``keep`` would clash, so the
-    result's is always the last."""
+    """Columns ``keep`` of ``docs`` with the score of each text; a column named score in ``keep`` gives way to it."""
     spark = attach(docs.sparkSession)
     shared = spark.sparkContext.broadcast((np.array(list(weights), np.int64), np.array(list(weights.values()))))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("__t"))
@@ -149,7 +155,7 @@ def score(docs: DataFrame, weights: dict[int, float], keep: list[str]) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.float64())], [*batch.schema.names[:n], "__score"])
 
     schema = T.StructType([*rows.schema.fields[:n], T.StructField("__score", T.DoubleType())])
-    return rows.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("__score").alias("score"))
+    return rows.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c.lower() != "score"], F.col("__score").alias("score"))
 
 
 def model_of(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> dict[int, float]:

@@ -5,7 +5,7 @@ page_id is a response, the others are revisits of it: headers without the payloa
 FILE_BYTES.
 
 Reader: a file is cut into byte ranges. A task scans its range for the gzip magic, validates a candidate by inflating
-its beginning and decoding a WARC version line and headers, and owns each record whose member starts inside its range;
+its beginning and decoding all WARC headers, with the required ones among them, and owns each record whose member starts inside its range;
 the last one may end beyond it. After an owned member the next one starts where it ends, so that scanning happens once
 per range and bytes that only look like a header are passed over.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, lookup, open_input, open_output, scratch, small_batches, written
@@ -38,8 +38,8 @@ FILE_BYTES = 256 << 20
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 PIECE_BYTES = 1 << 14
-#: Inflated bytes that must hold the version line of a candidate.
-PROBE = 64
+#: Inflated bytes that must hold the headers of a candidate.
+HEADER_BYTES = 1 << 16
 
 
 def digest32(payload: bytes) -> str:
@@ -67,13 +67,26 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return z.compress(raw) + z.flush()
 
 
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
+
+
+def headers(raw: bytes) -> dict[str, str]:
+    """Headers of a record by lower-case name; an error where they aren't whole, well formed and complete."""
+    head, end, _ = raw.partition(b"\r\n\r\n")
+    version, *lines = head.decode("utf-8").split("\r\n")
+    if not end or not version.startswith("WARC/1.") or not version[7:].isdigit():
+        raise ValueError("not a WARC record")
+    if not all(x.partition(":")[1] and x.partition(":")[0].strip() for x in lines):
+        raise ValueError("a header line without a name")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    if any(k not in fields for k in REQUIRED) or not fields["content-length"].isdigit():
+        raise ValueError("required headers are missing")
+    return fields
+
+
 def parse(raw: bytes) -> dict:
     """Headers (lower-case names) and payload facts of an inflated record."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields, rest = headers(raw), raw.partition(b"\r\n\r\n")[2]
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -93,20 +106,20 @@ class RangeReader:
         return self.f.read(min(n, self.size - at)) if at < self.size else b""
 
     def _valid(self, at: int) -> bool:
-        """Does a member start here that inflates to a WARC header?"""
+        """Does a member start here whose WARC headers can be decoded?"""
         z, got, pos = zlib.decompressobj(31), b"", at
         try:
-            while len(got) < PROBE:
+            while b"\r\n\r\n" not in got and len(got) < HEADER_BYTES:
                 data = z.unconsumed_tail
                 if not data:
                     data = self._read(pos, 4096)
                     pos += len(data)
                 if not data or z.eof:
                     break
-                got += z.decompress(data, PROBE - len(got))
-        except zlib.error:
+                got += z.decompress(data, HEADER_BYTES - len(got))
+            return headers(got) is not None
+        except (zlib.error, ValueError):
             return False
-        return got.startswith(b"WARC/1.") and b"\r\n" in got
 
     def _first(self) -> int | None:
         """Start of the first member in the range."""
@@ -146,15 +159,22 @@ class RangeReader:
 def roles(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html as bytes ``payload``) with refers_to: null for a response, else the response's id.
 
-    Payloads are compared by SHA-1 and length; only digests and ids are shuffled to find the largest id. Which of
-    several equal rows is the response is settled by a number that their place in the scan gives.
+    Payloads are compared by SHA-1; only digests, ids and row numbers are grouped. Where a page_id repeats, the rows are
+    written with a number each first, and of the rows with a payload's largest id the one with the smallest url, then
+    number, is the response.
     """
     text = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    slim = rows.select("digest", "page_id")
-    best = slim.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n_rows"))
-    return lookup(rows, best, "digest", "n_rows", pages.count())
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("row", F.lit(0).cast("long"))
+    if pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "warc-rows")
+    # Of structs the largest is that with the largest id; a null id is the smallest.
+    place = F.struct("page_id", F.col("url").isNull().alias("none"), "url", "row")
+    first = rows.select("digest", place.alias("p")).groupBy("digest", "p.page_id").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("c"))
+    best = first.groupBy("digest").agg(F.max("p").alias("best"), F.sum("c").alias("n_rows"))
+    out = lookup(rows, best, "digest", "n_rows", pages.count())
+    revisit = F.col("best.page_id").isNotNull() & ~((F.col("page_id").eqNullSafe(F.col("best.page_id"))) & F.col("url").eqNullSafe(F.col("best.url")) & (F.col("row") == F.col("best.row")))
+    return out.select("page_id", "url", "payload", F.when(revisit, F.col("best.page_id")).alias("refers_to"))
 
 
 INDEX = "path string, size long, n_records long"
@@ -165,19 +185,6 @@ def write_warc(pages: DataFrame) -> DataFrame:
     spark = attach(pages.sparkSession)
     folder = scratch(spark, "warc")
     rows = roles(pages)
-    # Rows that repeat the largest id of their payload: all but one become revisits of it. There are rarely any, and
-    # they are found by the ids that repeat.
-    again = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).limit(1).count() > 0
-    if again:
-        rows = written(rows, "warc-rows")
-        first = Window.partitionBy("digest", "page_id").orderBy("url", F.monotonically_increasing_id())
-        lead = rows.where(F.col("page_id").eqNullSafe(F.col("best"))).withColumn("copy", F.row_number().over(first) > 1)
-        rows = lead.unionByName(rows.where(~F.col("page_id").eqNullSafe(F.col("best"))).withColumn("copy", F.lit(False)))
-    else:
-        rows = rows.withColumn("copy", F.lit(False))
-    revisit = F.col("best").isNotNull() & (F.col("copy") | ~F.col("page_id").eqNullSafe(F.col("best")))
-    rows = rows.select("page_id", "url", "payload", F.when(revisit, F.col("best")).alias("refers_to"))
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, size, n, done = None, "", 0, 0, []
         for batch in small_batches(batches, "payload"):
