@@ -107,6 +107,37 @@ def test_sql_path_equals_kernel(spark):
     assert sorted(tuple(r[n] for n in names) for r in a) == sorted(tuple(r[n] for n in names) for r in b)
 
 
+def test_sql_path_takes_very_long_strings(spark):
+    from textloom.operators import lex
+
+    plain, escapes = '{"k": "' + "x" * 1_000_000 + '"}', '{"k": "' + "\\n\\u00E9" * 100_000 + '"}'
+    docs = spark.createDataFrame([(1, plain), (2, escapes), (3, "?" * 300_000), (4, '"' + "open " * 50_000)], "doc_id long, text string")
+    cols = ("doc_id", "tok_idx", "name", "start", "length")
+    a = lex.lex(docs, grammars.json_lexis(), cols).collect()
+    b = lex.lex_sql(docs, "|".join(grammars.JSON_SQL.values()), grammars.JSON_SQL).select(*cols).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert [r["length"] for r in a if r["name"] == "String"] == [3, 1_000_002, 3, 800_002]
+
+
+def test_columns_of_the_kernel(spark):
+    from textloom.operators import lex
+
+    docs = spark.createDataFrame([(1, "añb 漢 c"), (2, None), (3, "")], "doc_id long, text string")
+    whole = lex.lex(docs, grammars.word_lexis())
+    assert lex.lex(docs, grammars.word_lexis(), ("name", "byte_start")).columns == ["name", "byte_start"]
+    assert [r["byte_start"] for r in whole.orderBy("start").collect()] == [0, 1, 3, 4, 5, 8, 9]
+    assert lex.lex(docs, grammars.word_lexis(), automaton=True).collect() == whole.collect()
+
+
+def test_patterns_that_find_other_tokens_are_refused():
+    rules = [TokenRule("Less", "'<'"), TokenRule("Arrow", '"<-"')]
+    LexicalGrammar("right", rules, patterns={"Arrow": "<-", "Less": "<"})
+    with pytest.raises(GrammarError):
+        LexicalGrammar("shortest first", rules, patterns={"Less": "<", "Arrow": "<-"})
+    with pytest.raises(GrammarError):
+        LexicalGrammar("too much", rules, patterns={"Arrow": "<-", "Less": "[<>]"})
+
+
 GRAMMARS = {"json": grammars.json_lexis, "words": grammars.word_lexis, "tags": grammars.tag_lexis, "boolean": lambda: grammars.boolean_syntax().lexical, "chain": lambda: grammars.chain_syntax().lexical, "module": lambda: grammars.module_syntax().lexical}
 
 

@@ -19,8 +19,8 @@ def test_navigation(spark):
     kids = navigate.children(c).where("kind = 'node'").groupBy("node_id").count()
     assert kids.count() > 0
     sib = {r["node_id"]: r for r in navigate.siblings(n).collect()}
-    entries = [i for i, r in sorted(sib.items()) if r["name"] == "Entry" and r["depth"] == 2]
-    assert sib[entries[0]]["next_sibling"] == entries[1] and sib[entries[1]]["prev_sibling"] == entries[0]
+    members = [i for i, r in sorted(sib.items()) if r["name"] == "Member" and r["depth"] == 2]
+    assert sib[members[0]]["next_sibling"] == members[1] and sib[members[1]]["prev_sibling"] == members[0]
     assert sib[0]["prev_sibling"] is None and sib[0]["next_sibling"] is None
     scoped = {r["node_id"]: r["scope_id"] for r in navigate.scopes(n, ("Object",)).collect()}
     inner = [r["node_id"] for r in n.where("name = 'Null'").collect()]

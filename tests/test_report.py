@@ -47,7 +47,7 @@ def test_messages():
     text = '{"a" 1}'
     s = Session(g, list(g.lexical.scan(text)), len(text))
     s.parse()
-    assert message(g, s.errors[0]) == "missing ':' in entry"
+    assert message(g, s.errors[0]) == "missing ':' in member"
     s = Session(g, [], 0)
     s.parse()
     assert message(g, s.errors[0]) == "missing object in Root"
@@ -70,5 +70,5 @@ def test_styles():
 
 
 def test_tree_text():
-    assert tree_text(grammars.json_syntax(), '{"a" 1}').split("\n")[:4] == ["Root", "  object: Object", "    start: '{'", "    end: '}'"]
+    assert tree_text(grammars.json_syntax(), '{"a" 1}').split("\n")[:4] == ["Root", "  document: Object", "    open: '{'", "    close: '}'"]
     assert "nil" in tree_text(grammars.chain_syntax(), "{ a = ; }") or "value" in tree_text(grammars.chain_syntax(), "{ a = ; }")

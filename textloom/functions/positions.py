@@ -61,10 +61,11 @@ def valid_span(text: Column, start: Column, end: Column) -> Column:
     return (start >= 0) & (start <= end)
 
 
-def chars(docs: DataFrame, start: int, end: int) -> DataFrame:
-    """Characters of a span, one row each with their site."""
-    span = substring_span(F.col("text"), F.lit(start), F.lit(end))
-    return docs.select("doc_id", F.posexplode(F.split(span, "")).alias("i", "char")).where(F.col("char") != "").select("doc_id", (F.col("i") + start).cast("long").alias("site"), "char")
+def chars(docs: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Characters of a span of each text, one row each with their site."""
+    first = _clamp(F.col("text"), start).alias("first")
+    p = docs.select("doc_id", first, F.posexplode(F.split(substring_span(F.col("text"), start, end), "")).alias("i", "char"))
+    return p.where(F.col("char") != "").select("doc_id", (F.col("first") + F.col("i")).cast("long").alias("site"), "char")
 
 
 def _clamp(text: Column, site: Column) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,31 +17,73 @@ from ..session import attach
 TOK = "doc_id long, tok_idx int, rule int, name string, string string, start int, length int, byte_start int"
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small slices bound what a kernel holds at once."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def lex(docs: DataFrame, grammar) -> DataFrame:
-    """Tokens by the grammar's scanner. A null text has no tokens."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows and ``size`` bytes at most (or one row) bound what a kernel holds at once."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > size:
+                n = (n + 1) // 2
+            yield b.slice(at, n)
+            at += n
+
+
+def byte_starts(text: str, starts: np.ndarray) -> np.ndarray:
+    """UTF-8 offsets of sites."""
+    if text.isascii():
+        return starts
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    width = 1 + (c > 0x7F).astype(np.int32) + (c > 0x7FF) + (c > 0xFFFF)
+    return np.concatenate([[0], np.cumsum(width)])[starts]
+
+
+def lex(docs: DataFrame, grammar, columns: tuple[str, ...] | None = None, automaton: bool = False) -> DataFrame:
+    """Tokens by the grammar's scanner; a null text has none. Only ``columns`` of the rows leave the kernel (all by
+    default). ``automaton`` scans by the automaton even where the grammar has patterns for the regular-expression search."""
     attach(docs.sparkSession)
+    fields = [x.split() for x in TOK.split(", ")]
+    fields = [(n, t) for n, t in fields if columns is None or n in columns]
+    asked = {n for n, _ in fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = grammar.scan_states if automaton else grammar.scan
+        names = pa.array(grammar.names, pa.string())
         for batch in slices(batches):
-            cols: list[list] = [[] for _ in range(8)]
+            parts: dict[str, list] = {n: [] for n in asked | {"rule"}}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                byte = 0
-                for k, (rule, start, length) in enumerate(grammar.scan(text) if text else ()):
-                    string = text[start : start + length]
-                    for c, v in zip(cols, (doc, k, rule, grammar.names[rule], string, start, length, byte), strict=True):
-                        c.append(v)
-                    byte += length if string.isascii() else len(string.encode())
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in TOK.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOK)
+                found = np.array(list(scan(text)) if text else (), np.int32).reshape(-1, 3)
+                rule, start, length = found.T
+                parts["rule"].append(rule)
+                if "doc_id" in asked:
+                    parts["doc_id"] += [doc] * len(found)
+                if "tok_idx" in asked:
+                    parts["tok_idx"].append(np.arange(len(found), dtype=np.int32))
+                if "start" in asked:
+                    parts["start"].append(start)
+                if "length" in asked:
+                    parts["length"].append(length)
+                if "string" in asked:
+                    parts["string"] += [text[a : a + n] for _, a, n in found.tolist()]
+                if "byte_start" in asked and text:
+                    parts["byte_start"].append(byte_starts(text, start))
+            rules = np.concatenate(parts["rule"])
+            cols = []
+            for n, t in fields:
+                if n == "name":
+                    cols.append(names.take(pa.array(rules)))
+                elif n in ("doc_id", "string"):
+                    cols.append(pa.array(parts[n], KINDS[t]))
+                else:
+                    x = parts[n]
+                    cols.append(pa.array(np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays(cols, [n for n, _ in fields])
+
+    schema = ", ".join(f"{n} {t}" for n, t in fields)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def token_name(piece: Column, names: dict[str, str]) -> Column:
@@ -52,19 +95,15 @@ def token_name(piece: Column, names: dict[str, str]) -> Column:
 
 
 def lex_sql(docs: DataFrame, pattern: str, names: dict[str, str]) -> DataFrame:
-    """The same by Catalyst alone: pieces by one regular expression whose last alternative takes any character, sites
-    by a running sum, adjacent mismatches merged. Only for grammars where leftmost-first search gives the longest match."""
-    pieces = F.regexp_extract_all("text", F.lit(f"(?s)({pattern}|.)"), F.lit(1))
-    p = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("i", "string"))
-    p = p.withColumn("name", token_name(F.col("string"), names))
-    by = Window.partitionBy("doc_id").orderBy("i")
-    p = p.withColumn("new", F.when((F.col("name") == "Mismatch") & (F.lag("name").over(by) == "Mismatch"), 0).otherwise(1))
-    p = p.withColumn("tok_idx", F.sum("new").over(by) - 1)
-    t = p.groupBy("doc_id", "tok_idx").agg(F.first("name").alias("name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "string"))), lambda x: x["string"]), "").alias("string"))
+    """The same by Catalyst alone: one regular expression gives the tokens in order, runs in which none starts as one
+    piece, so that names and lengths need no shuffle; sites, if asked for, are a running sum per document. Only for
+    grammars where leftmost-first search gives the longest match."""
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s)({pattern}|(?:(?!(?:{pattern})).)++)"), F.lit(1))
+    p = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("tok_idx", "string"))
     before = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("string")).over(before), F.lit(0))
     byte = F.coalesce(F.sum(F.octet_length("string")).over(before), F.lit(0))
-    return t.select("doc_id", F.col("tok_idx").cast("int").alias("tok_idx"), "name", "string", start.cast("int").alias("start"), F.length("string").alias("length"), byte.cast("int").alias("byte_start"))
+    return p.select("doc_id", "tok_idx", token_name(F.col("string"), names).alias("name"), "string", start.cast("int").alias("start"), F.length("string").alias("length"), byte.cast("int").alias("byte_start"))
 
 
 def lookahead(tok: DataFrame, distance: int = 1, column: str = "name") -> Column:

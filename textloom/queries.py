@@ -110,8 +110,8 @@ def json_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ORACLES["json_token_counts"])
 def json_token_counts_automaton(spark: SparkSession, d: str) -> DataFrame:
-    """The same by the automaton kernel."""
-    t = lex.lex(props(spark, d), grammars.json_lexis())
+    """The same by the automaton, character by character."""
+    t = lex.lex(props(spark, d), grammars.json_lexis(), ("name", "length"), automaton=True)
     return t.groupBy(F.col("name").alias("token")).agg(F.count(F.lit(1)).alias("n"), long(F.sum("length")).alias("chars"))
 
 
@@ -128,7 +128,10 @@ def json_token_lookahead(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("name", "next", "before2").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id AS doc_id, length(props) // 2 AS site, CASE WHEN props LIKE '{\"k\": %' THEN 'Colon' END AS name, 4::BIGINT AS start FROM events WHERE length(props) IN (8, 9)")
+TOKEN_SITES = "SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tok"
+
+
+@query(f"WITH {JSON_PIECES}, s AS ({TOKEN_SITES}), e AS (SELECT event_id AS doc_id, length(props) // 2 AS site FROM events) SELECT e.doc_id, site, name, start FROM e LEFT JOIN s ON e.doc_id = s.doc_id AND start <= site AND site < start + length(s)")
 def json_token_at_site(spark: SparkSession, d: str) -> DataFrame:
     """The token at the middle of each text."""
     docs = props(spark, d)
@@ -153,8 +156,8 @@ m AS (SELECT *, CASE WHEN name = 'Mismatch' AND lag(name) OVER (PARTITION BY doc
 
 @query(f"WITH {WORD_RUNS} SELECT name, sum(fresh)::BIGINT AS n, sum(length(s))::BIGINT AS chars FROM m GROUP BY 1")
 def doc_mismatch_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of documents under ASCII words: mismatches merged, by the automaton."""
-    t = lex.lex(documents(spark, d), grammars.word_lexis())
+    """Tokens of documents under ASCII words: mismatches merged, by the kernel's search."""
+    t = lex.lex(documents(spark, d), grammars.word_lexis(), ("name", "length"))
     return t.groupBy("name").agg(F.count(F.lit(1)).alias("n"), long(F.sum("length")).alias("chars"))
 
 
@@ -167,18 +170,17 @@ def doc_word_counts_by_lang(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN 1 ELSE 0 END AS n_tokens, length(text) AS chars FROM documents")
 def doc_line_tokens(spark: SparkSession, d: str) -> DataFrame:
     """A custom scanner: lines with their newlines as tokens."""
-    t = lex.lex(documents(spark, d), grammars.LINES).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), long(F.sum("length")).alias("chars"))
+    t = lex.lex(documents(spark, d), grammars.LINES, ("doc_id", "length")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), long(F.sum("length")).alias("chars"))
     return t
 
 
-@query("SELECT count(*) AS n_bad FROM documents WHERE length(text) < 0")
+@query("SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, 0::BIGINT AS gaps FROM documents WHERE text <> ''")
 def doc_tokens_tile(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose tokens (any script) don't tile their text: none."""
-    t = lex.lex(documents(spark, d), grammars.letter_lexis())
-    w = Window.partitionBy("doc_id").orderBy("tok_idx")
-    gap = t.withColumn("after", F.lead("start").over(w)).where(F.col("after") != F.col("start") + F.col("length"))
-    total = t.groupBy("doc_id").agg(F.sum("length").alias("n")).join(documents(spark, d), "doc_id").where(F.col("n") != F.length("text"))
-    return gap.select("doc_id").union(total.select("doc_id")).agg(F.count(F.lit(1)).alias("n_bad"))
+    """Tokens of any script, by the automaton, tile their text: characters, bytes, and places where one doesn't follow."""
+    t = lex.lex(documents(spark, d), grammars.letter_lexis(), ("doc_id", "tok_idx", "start", "length", "string"))
+    after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("tok_idx"))
+    t = t.withColumn("gap", F.coalesce(after != F.col("start") + F.col("length"), F.lit(False)))
+    return t.groupBy("doc_id").agg(long(F.sum("length")).alias("chars"), long(F.sum(F.octet_length("string"))).alias("bytes"), F.count_if("gap").alias("gaps"))
 
 
 @query("SELECT regexp_extract(t, '^(</?)', 1) AS kind, lower(regexp_extract(t, '^</?([a-zA-Z0-9]+)', 1)) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9]*(?:[\\t\\n ][^>]*)?>|</[a-zA-Z0-9]+>')) AS t FROM pages) GROUP BY ALL")
@@ -216,12 +218,12 @@ def doc_line_of_site(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", site.alias("site"), positions.line_of(text, site).alias("line"), positions.column_of(text, site).alias("col"), positions.byte_index(text, site).alias("byte"))
 
 
-@query("SELECT doc_id, length(text) // 3 AS site FROM documents")
+@query("SELECT doc_id, length(text) // 3 AS site, len(string_split(substr(text, 1, length(text) // 3), chr(10))) AS line, length(list_extract(string_split(substr(text, 1, length(text) // 3), chr(10)), -1)) + 1 AS col FROM documents")
 def doc_position_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Site to position and back."""
     site, text = F.floor(F.length("text") / 3).cast("long"), F.col("text")
-    p = documents(spark, d).select("doc_id", "text", positions.line_of(text, site).alias("l"), positions.column_of(text, site).alias("c"))
-    return p.select("doc_id", positions.site_of(text, F.col("l"), F.col("c")).alias("site"))
+    p = documents(spark, d).select("doc_id", "text", positions.line_of(text, site).alias("line"), positions.column_of(text, site).alias("col"))
+    return p.select("doc_id", positions.site_of(text, F.col("line"), F.col("col")).alias("site"), "line", "col")
 
 
 @query("SELECT doc_id, substr(text, 11, 20) AS middle, substr(text, 1, 5) AS head, substr(text, greatest(length(text) - 6, 0) + 1) AS tail FROM documents")
@@ -231,9 +233,10 @@ def doc_substring_spans(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", cut(F.lit(10), F.lit(30)).alias("middle"), cut(F.lit(-3), F.lit(5)).alias("head"), cut(F.greatest(n - 6, F.lit(0)), n + 9).alias("tail"))
 
 
-@query("WITH c AS (SELECT unnest(string_split(substr(text, 1, 50), '')) AS ch FROM documents) SELECT ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY 1")
+@query("WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents) SELECT ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY 1")
 def doc_char_scan(spark: SparkSession, d: str) -> DataFrame:
-    return positions.chars(documents(spark, d), 0, 50).groupBy(F.col("char").alias("ch")).agg(F.count(F.lit(1)).alias("n"))
+    """Characters of whole texts, by a scan over the span of all."""
+    return positions.chars(documents(spark, d), F.lit(0), F.length("text")).groupBy(F.col("char").alias("ch")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT s AS line, count(*) AS n, count(DISTINCT doc_id) AS docs FROM l WHERE s <> '' GROUP BY 1 HAVING count(*) > 1")
@@ -284,7 +287,7 @@ REGIONS = "(SELECT count(DISTINCT n_regionkey) FROM nation JOIN region ON n_regi
 
 
 @query(
-    f"SELECT * FROM (VALUES ('Root', 0, {REGIONS}), ('Object', 1, {REGIONS}), ('Entry', 2, 2 * {REGIONS}), ('String', 3, {REGIONS}), ('Array', 3, {REGIONS}), ('Object', 4, {NATIONS}), ('Entry', 5, 2 * {NATIONS}), ('String', 6, {NATIONS}), ('Array', 6, {NATIONS}), ('Object', 7, {SUPPLIERS}), ('Entry', 8, 2 * {SUPPLIERS}), ('Number', 9, {SUPPLIERS}), ('String', 9, {SUPPLIERS})) t(name, depth, n)"
+    f"SELECT * FROM (VALUES ('Root', 0, {REGIONS}), ('Object', 1, {REGIONS}), ('Member', 2, 2 * {REGIONS}), ('String', 3, {REGIONS}), ('Array', 3, {REGIONS}), ('Object', 4, {NATIONS}), ('Member', 5, 2 * {NATIONS}), ('String', 6, {NATIONS}), ('Array', 6, {NATIONS}), ('Object', 7, {SUPPLIERS}), ('Member', 8, 2 * {SUPPLIERS}), ('Number', 9, {SUPPLIERS}), ('String', 9, {SUPPLIERS})) t(name, depth, n)"
 )
 def json_tree_shape(spark: SparkSession, d: str) -> DataFrame:
     n = parse.nodes(parse.parse(region_json(spark, d), grammars.json_syntax(), ("node",)))
@@ -297,16 +300,16 @@ def json_number_values(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "string", long("string").alias("value"))
 
 
-@query(f"SELECT * FROM (VALUES ('Root', 'Object', {REGIONS}), ('Object', 'Entry', 2 * ({REGIONS} + {NATIONS} + {SUPPLIERS})), ('Entry', 'String', {REGIONS} + {NATIONS} + {SUPPLIERS}), ('Entry', 'Array', {REGIONS} + {NATIONS}), ('Entry', 'Number', {SUPPLIERS}), ('Array', 'Object', {NATIONS} + {SUPPLIERS})) t(parent_name, name, n)")
+@query(f"SELECT * FROM (VALUES ('Root', 'Object', {REGIONS}), ('Object', 'Member', 2 * ({REGIONS} + {NATIONS} + {SUPPLIERS})), ('Member', 'String', {REGIONS} + {NATIONS} + {SUPPLIERS}), ('Member', 'Array', {REGIONS} + {NATIONS}), ('Member', 'Number', {SUPPLIERS}), ('Array', 'Object', {NATIONS} + {SUPPLIERS})) t(parent_name, name, n)")
 def json_parent_child(spark: SparkSession, d: str) -> DataFrame:
     n = navigate.with_parent(parse.nodes(parse.parse(region_json(spark, d), grammars.json_syntax(), ("node",))), ("name",))
     return n.where("parent_name IS NOT NULL").groupBy("parent_name", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH g AS (SELECT n_nationkey, count(s_suppkey) AS c FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1), r AS (SELECT n_regionkey, count(*) AS c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) SELECT * FROM (VALUES ('Entry', {REGIONS} + {NATIONS} + {SUPPLIERS}, {REGIONS} + {NATIONS} + {SUPPLIERS}), ('Object', (SELECT sum(greatest(c - 1, 0)) FROM g)::BIGINT + (SELECT sum(c - 1) FROM r)::BIGINT, (SELECT sum(greatest(c - 1, 0)) FROM g)::BIGINT + (SELECT sum(c - 1) FROM r)::BIGINT)) t(name, with_next, with_prev)")
+@query(f"WITH g AS (SELECT n_nationkey, count(s_suppkey) AS c FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1), r AS (SELECT n_regionkey, count(*) AS c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) SELECT * FROM (VALUES ('Member', {REGIONS} + {NATIONS} + {SUPPLIERS}, {REGIONS} + {NATIONS} + {SUPPLIERS}), ('Object', (SELECT sum(greatest(c - 1, 0)) FROM g)::BIGINT + (SELECT sum(c - 1) FROM r)::BIGINT, (SELECT sum(greatest(c - 1, 0)) FROM g)::BIGINT + (SELECT sum(c - 1) FROM r)::BIGINT)) t(name, with_next, with_prev)")
 def json_siblings(spark: SparkSession, d: str) -> DataFrame:
     n = navigate.siblings(parse.nodes(parse.parse(region_json(spark, d), grammars.json_syntax(), ("node",))))
-    out = n.where(F.col("name").isin("Entry", "Object")).groupBy("name").agg(F.count("next_sibling").alias("with_next"), F.count("prev_sibling").alias("with_prev"))
+    out = n.where(F.col("name").isin("Member", "Object")).groupBy("name").agg(F.count("next_sibling").alias("with_next"), F.count("prev_sibling").alias("with_prev"))
     return out
 
 
@@ -324,8 +327,8 @@ def json_children(spark: SparkSession, d: str) -> DataFrame:
     p = parse.parse(region_json(spark, d), grammars.json_syntax(), ("node", "cap")).cache()
     n, c = parse.nodes(p), parse.captures(p)
     top = n.where("name = 'Object' AND depth = 1").select("doc_id", "node_id")
-    first = navigate.child(c, "entries").join(top, ["doc_id", "node_id"]).select("doc_id", F.col("ref_id").alias("node_id"))
-    last = navigate.child(c, "entries", last=True).join(top, ["doc_id", "node_id"]).select("doc_id", F.col("ref_id").alias("node_id"))
+    first = navigate.child(c, "members").join(top, ["doc_id", "node_id"]).select("doc_id", F.col("ref_id").alias("node_id"))
+    last = navigate.child(c, "members", last=True).join(top, ["doc_id", "node_id"]).select("doc_id", F.col("ref_id").alias("node_id"))
     key = navigate.child(c, "key", kind="token").select("doc_id", "node_id", F.expr("substring(string, 2, length(string) - 2)").alias("s"))
     value = c.where("key = 'value' AND kind = 'node'").select("doc_id", "node_id", F.col("ref_id").alias("v"))
     text = c.where("name = 'String'").select("doc_id", F.col("node_id").alias("v"), F.expr("substring(string, 2, length(string) - 2)").alias("region"))
@@ -347,7 +350,7 @@ def json_cover(spark: SparkSession, d: str) -> DataFrame:
 def json_paths(spark: SparkSession, d: str) -> DataFrame:
     """Key paths of all entries."""
     p = parse.parse(region_json(spark, d), grammars.json_syntax(), ("node", "cap")).cache()
-    keys = parse.captures(p).where("name = 'Entry' AND key = 'key'").select("doc_id", "node_id", F.expr("substring(string, 2, length(string) - 2)").alias("k"))
+    keys = parse.captures(p).where("name = 'Member' AND key = 'key'").select("doc_id", "node_id", F.expr("substring(string, 2, length(string) - 2)").alias("k"))
     n = parse.nodes(p).join(keys, ["doc_id", "node_id"])
     return navigate.paths(n, F.col("k")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
@@ -359,7 +362,7 @@ def json_class_index(spark: SparkSession, d: str) -> DataFrame:
     return navigate.classes(n, {r.name: r.classes for r in g.rules if r.classes}).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT * FROM (VALUES ('Object', 0::BIGINT), ('Array', 0::BIGINT)) t(name, n) WHERE n > 0 UNION ALL SELECT 'Entry', 2 * {REGIONS} UNION ALL SELECT 'Root', {REGIONS} UNION ALL SELECT 'String', {REGIONS} UNION ALL SELECT 'Object', {REGIONS} UNION ALL SELECT 'Array', {REGIONS}")
+@query(f"SELECT * FROM (VALUES ('Object', 0::BIGINT), ('Array', 0::BIGINT)) t(name, n) WHERE n > 0 UNION ALL SELECT 'Member', 2 * {REGIONS} UNION ALL SELECT 'Root', {REGIONS} UNION ALL SELECT 'String', {REGIONS} UNION ALL SELECT 'Object', {REGIONS} UNION ALL SELECT 'Array', {REGIONS}")
 def json_pruned_traversal(spark: SparkSession, d: str) -> DataFrame:
     """A traversal that doesn't go into arrays."""
     n = parse.nodes(parse.parse(region_json(spark, d), grammars.json_syntax(), ("node",)))
@@ -373,10 +376,10 @@ def json_errors_by_recovery(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("recovery").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id AS doc_id, 1::BIGINT AS n_errors, 'missing '':'' in entry' AS first_message FROM events WHERE event_id % 4 = 1")
+@query("SELECT event_id AS doc_id, 1::BIGINT AS n_errors, CASE event_id % 4 WHEN 0 THEN 'unexpected end of input, expected '','' or ''}'' in object' WHEN 1 THEN 'missing '':'' in member' ELSE 'unexpected input, expected member or ''}'' in object' END AS first_message FROM events WHERE event_id % 4 <> 3")
 def json_error_messages(spark: SparkSession, d: str) -> DataFrame:
-    docs = broken_json(spark, d).where("doc_id % 4 IN (1, 3)")
-    return messages.reports(docs, grammars.json_syntax()).select("doc_id", "n_errors", "first_message")
+    """Messages of all broken texts: the end came too soon, something is missing, something was skipped."""
+    return messages.reports(broken_json(spark, d), grammars.json_syntax()).select("doc_id", "n_errors", "first_message")
 
 
 @query("SELECT event_id AS doc_id, length(props) AS chars, 1 AS blanks, 1 AS objects FROM events")

@@ -156,7 +156,7 @@ def format_json(text: str) -> str:
         return p.finish()
     string = lambda ref: text[tokens[ref[1]][1] : tokens[ref[1]][1] + tokens[ref[1]][2]]
     # An explicit stack of things to print, so that deep nesting needs no recursion.
-    stack: list = [("node", s.nodes[0].captures["object"][1])]
+    stack: list = [("node", s.nodes[0].captures["document"][1])]
     while stack:
         item = stack.pop()
         if item[0] != "node":
@@ -165,7 +165,7 @@ def format_json(text: str) -> str:
         n = s.nodes[item[1]]
         name = g.rules[n.rule].name
         if name in ("Object", "Array"):
-            children = n.captures["entries" if name == "Object" else "items"]
+            children = n.captures["members" if name == "Object" else "elements"]
             a, b = ("{", "}") if name == "Object" else ("[", "]")
             if not children:
                 p.word(a + b)
@@ -177,7 +177,7 @@ def format_json(text: str) -> str:
                 todo.append(("node", ref[1]))
             todo += [("blank",) if name == "Object" else ("softbreak",), ("indent", -1), ("word", b), ("end",)]
             stack += reversed(todo)
-        elif name == "Entry":
+        elif name == "Member":
             stack += reversed([("word", string(n.captures["key"])), ("word", ": "), ("node", n.captures["value"][1])])
         else:
             p.word(string(n.captures["value"]))

@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share, ``spark.checkpoint.dir``. Where the session leaves
-    that unset (one machine, as in tests) a temporary folder is set."""
+    that unset and runs on one machine (as in tests) a temporary folder is set; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
