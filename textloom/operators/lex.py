@@ -118,10 +118,23 @@ def chunks(tok: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def token_at(tok: DataFrame, sites: DataFrame) -> DataFrame:
-    """The token that holds each site of ``sites`` (doc_id, site): an equi-join with a residual range. None from the end on."""
-    s = sites.select(F.col("doc_id").alias("__d"), F.col("site").alias("__s"), *[F.col(c) for c in sites.columns if c not in ("doc_id", "site")])
-    on = (F.col("doc_id") == F.col("__d")) & (F.col("start") <= F.col("__s")) & (F.col("__s") < F.col("start") + F.col("length"))
-    return s.join(tok, on, "left").withColumnRenamed("__s", "site").drop("doc_id").withColumnRenamed("__d", "doc_id")
+    """The token that holds each site of ``sites`` (doc_id, site): the last one that starts at or before it, found by one
+    pass in order over the document's tokens and sites. None from the end on."""
+    names = [c for c in tok.columns if c != "doc_id"]
+    extra = [c for c in sites.columns if c != "doc_id"]
+    t = tok.select("doc_id", F.col("start").cast("long").alias("__at"), F.lit(0).alias("__side"), F.struct(*names).alias("__t"))
+    s = sites.select("doc_id", F.col("site").cast("long").alias("__at"), F.lit(1).alias("__side"), F.struct(*extra).alias("__s"))
+    by = Window.partitionBy("doc_id").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    met = t.unionByName(s, allowMissingColumns=True).withColumn("__t", F.last("__t", ignorenulls=True).over(by)).where("__side = 1")
+    inside = F.col("__at") < F.col("__t.start") + F.col("__t.length")
+    return met.select("doc_id", "__s.*", *[F.when(inside, F.col(f"__t.{c}")).alias(c) for c in names])
+
+
+def token_streams_differ(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Documents whose token streams (tok_idx, name, string) differ: doc_id, first_diff (the first place), n_diff."""
+    x, y = (t.select("doc_id", "tok_idx", F.struct("name", "string").alias(c)) for t, c in ((a, "x"), (b, "y")))
+    both = x.join(y, ["doc_id", "tok_idx"], "full_outer").where(~F.col("x").eqNullSafe(F.col("y")))
+    return both.groupBy("doc_id").agg(F.min("tok_idx").alias("first_diff"), F.count(F.lit(1)).alias("n_diff"))
 
 
 def join_parts(parts: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from .plans.lexical import TokenSet
 from .report import messages
 from .semantics import chains, modules
 from .session import cut, folder, table
+from .sources.workspace import Workspace
 from .streaming import edits, revisions
 
 QUERIES: dict = {}
@@ -324,7 +325,7 @@ def json_descendants(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT r_regionkey::BIGINT AS doc_id, r_name AS region, 'nations' AS last_key FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
 def json_children(spark: SparkSession, d: str) -> DataFrame:
     """First and last entry of each root object, by captures."""
-    p = parse.parse(region_json(spark, d), grammars.json_syntax(), ("node", "cap")).cache()
+    p = cut(parse.parse(region_json(spark, d), grammars.json_syntax(), ("node", "cap")))
     n, c = parse.nodes(p), parse.captures(p)
     top = n.where("name = 'Object' AND depth = 1").select("doc_id", "node_id")
     first = navigate.child(c, "members").join(top, ["doc_id", "node_id"]).select("doc_id", F.col("ref_id").alias("node_id"))
@@ -349,7 +350,7 @@ def json_cover(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT * FROM (VALUES ('region', {REGIONS}), ('nations', {REGIONS}), ('nations/name', {NATIONS}), ('nations/suppliers', {NATIONS}), ('nations/suppliers/key', {SUPPLIERS}), ('nations/suppliers/name', {SUPPLIERS})) t(path, n)")
 def json_paths(spark: SparkSession, d: str) -> DataFrame:
     """Key paths of all entries."""
-    p = parse.parse(region_json(spark, d), grammars.json_syntax(), ("node", "cap")).cache()
+    p = cut(parse.parse(region_json(spark, d), grammars.json_syntax(), ("node", "cap")))
     keys = parse.captures(p).where("name = 'Member' AND key = 'key'").select("doc_id", "node_id", F.expr("substring(string, 2, length(string) - 2)").alias("k"))
     n = parse.nodes(p).join(keys, ["doc_id", "node_id"])
     return navigate.paths(n, F.col("k")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
@@ -395,6 +396,97 @@ def json_pretty(spark: SparkSession, d: str) -> DataFrame:
     return messages.formatted(props(spark, d))
 
 
+# -- reports, captures, streams of tokens ---------------------------------------------------------------------------------------
+
+NUMBER = "json_extract_string(props, '$.k')"
+
+
+@query(f"SELECT event_id AS doc_id, 'Root' || chr(10) || '  document: Object' || chr(10) || '    open: ''{{''' || chr(10) || '    close: ''}}''' || chr(10) || '    members: Member' || chr(10) || '      key: ''\"k\"''' || chr(10) || '      value: Number' || chr(10) || '        value: ''' || {NUMBER} || '''' AS tree FROM events")
+def json_tree_display(spark: SparkSession, d: str) -> DataFrame:
+    return messages.trees(props(spark, d), grammars.json_syntax())
+
+
+@query(f"SELECT event_id AS doc_id, '  ┌─ member syntax error' || chr(10) || '1 │ {{\"k\" ' || {NUMBER} || '}}' || chr(10) || '  │     ^ missing '':'' in member' || chr(10) || '  └─ 1 errors' AS report FROM events")
+def json_error_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated snippets of texts without their colon."""
+    docs = props(spark, d).select("doc_id", F.replace("text", F.lit(":"), F.lit("")).alias("text"))
+    return messages.reports(docs, grammars.json_syntax()).select("doc_id", "report")
+
+
+@query(f"SELECT event_id AS doc_id, '{{' || chr(27) || '[32m\"k\"' || chr(27) || '[0m: ' || chr(27) || '[34m' || {NUMBER} || chr(27) || '[0m}}' AS styled FROM events")
+def json_highlighted(spark: SparkSession, d: str) -> DataFrame:
+    return messages.highlighted(props(spark, d))
+
+
+@query(f"SELECT event_id AS doc_id, CASE event_id % 4 WHEN 0 THEN length(props) - 1 WHEN 1 THEN 4 ELSE 1 END::INT AS start, CASE event_id % 4 WHEN 0 THEN length(props) - 1 WHEN 1 THEN 5 ELSE length(props) - 4 END::INT AS end_, CASE event_id % 4 WHEN 1 THEN 'Member' ELSE 'Object' END AS context FROM events WHERE event_id % 4 <> 3")
+def json_error_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where errors are, aligned over blanks: one a text."""
+    e = parse.errors(parse.parse(broken_json(spark, d), grammars.json_syntax(), ("err",)))
+    return e.select("doc_id", "start", F.col("end").alias("end_"), F.col("context_name").alias("context"))
+
+
+@query(f"SELECT event_id AS doc_id, t.name, key, 1::BIGINT AS n, CASE part WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 6 WHEN 3 THEN length(props) - 1 END::INT AS start, CASE part WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN length(props) - 1 WHEN 3 THEN length(props) END::INT AS end_ FROM events, (VALUES ('Root', 'document', NULL), ('Object', 'open', 0), ('Object', 'members', NULL), ('Object', 'close', 3), ('Member', 'key', 1), ('Member', 'value', NULL), ('Number', 'value', 2)) t(name, key, part)")
+def json_capture_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Captures by node and key: how many, and the span of captured tokens."""
+    g = navigate.capture_groups(parse.captures(parse.parse(props(spark, d), grammars.json_syntax(), ("cap",))))
+    return g.where("is_single AND NOT is_empty").select("doc_id", "name", "key", "n", "start", F.col("end").alias("end_"))
+
+
+@query("SELECT event_id AS doc_id, 0::BIGINT AS ord, 'token' AS kind FROM events UNION ALL SELECT event_id, 1, 'node' FROM events UNION ALL SELECT event_id, 2, 'token' FROM events")
+def json_child_order(spark: SparkSession, d: str) -> DataFrame:
+    """Children of each object in order: its brace, its member, its brace."""
+    p = parse.parse(props(spark, d), grammars.json_syntax(), ("node", "cap"))
+    top = parse.nodes(p).where("name = 'Object'").select("doc_id", "node_id")
+    return navigate.children(parse.captures(p)).join(top, ["doc_id", "node_id"]).select("doc_id", long("ord").alias("ord"), "kind")
+
+
+@query("SELECT event_id AS doc_id, CASE event_id % 3 WHEN 1 THEN 3 ELSE 4 END AS first_diff, CASE event_id % 3 WHEN 1 THEN 3 ELSE 1 END::BIGINT AS n_diff FROM events WHERE event_id % 3 <> 0")
+def token_stream_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Token streams of two versions: equal, without a blank, with another number."""
+    docs = props(spark, d)
+    k = F.col("doc_id") % 3
+    other = docs.select("doc_id", F.when(k == 1, F.replace("text", F.lit(" "), F.lit(""))).when(k == 2, F.replace("text", F.lit(": "), F.lit(": 1"))).otherwise(F.col("text")).alias("text"))
+    a, b = (lex.lex(x, grammars.json_lexis(), ("doc_id", "tok_idx", "name", "string")) for x in (docs, other))
+    return lex.token_streams_differ(a, b)
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'immutable' ELSE 'mutable' END AS kind, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 THEN '{\"k\": ' || (c_custkey + 1) || '}' ELSE '{\"k\": ' || c_custkey || '}' END AS text FROM customer WHERE c_custkey % 7 <> 0")
+def workspace_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A workspace's life: documents added mutable and immutable, converted, named, removed, and the mutable ones
+    written to."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+    body = lambda k: F.concat(F.lit('{"k": '), k.cast("string"), F.lit("}"))
+    w, of = Workspace(spark, grammars.json_syntax()), F.col("doc_id")
+    docs = c.select("doc_id", body(of).alias("text"))
+    w.add_immutable(docs.where(of % 3 == 0))
+    w.add_mutable(docs.where(of % 3 != 0))
+    w.into(c.where(of % 5 == 0), "immutable")
+    w.set_names(c.where(of % 2 == 0).select("doc_id", F.col("c_name").alias("name")))
+    w.remove(c.where(of % 7 == 0))
+    log = w.docs.where("kind = 'mutable'").select("doc_id", F.lit(1).cast("long").alias("seq"), F.lit(6).cast("long").alias("start"), (F.length("text") - 1).cast("long").alias("end"), (of + 1).cast("string").alias("text"))
+    w.write(log)
+    return w.docs.select("doc_id", "kind", "name", "text")
+
+
+@query("WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN props ELSE replace(props, 'k', 'z') END AS p FROM events) SELECT op, count(*) AS n FROM (SELECT 'updated' AS op FROM e, range(3) WHERE p LIKE '%z%') GROUP BY 1")
+def workspace_change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose text a write changes: the key of every other document, and so all nodes above it."""
+    docs = props(spark, d)
+    w = Workspace(spark, grammars.json_syntax())
+    w.add_mutable(docs)
+    log = docs.where("doc_id % 2 = 1").select("doc_id", F.lit(1).cast("long").alias("seq"), F.lit(2).cast("long").alias("start"), F.lit(3).cast("long").alias("end"), F.lit("z").alias("text"))
+    return w.write(log).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH RECURSIVE s AS (SELECT event_id, 1 AS step FROM events UNION ALL SELECT event_id, step + 1 FROM s WHERE step < 40) SELECT event_id AS doc_id, 'x' || step AS key, 'number' AS status, event_id::VARCHAR AS value FROM s")
+def chain_of_forty(spark: SparkSession, d: str) -> DataFrame:
+    """A chain of forty names per event, each set to the one before: pointer doubling finds the number at its start."""
+    links = "".join(f"x{i} = x{i - 1}; " for i in range(2, 41))
+    docs = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("{ x1 = "), F.col("event_id").cast("string"), F.lit(f"; {links}}}")).alias("text"))
+    p = cut(parse.parse(docs, grammars.chain_syntax(), ("node", "cap")))
+    return chains.resolve(parse.nodes(p), parse.captures(p)).select("doc_id", "key", "status", "value")
+
+
 # -- expressions and semantics ------------------------------------------------------------------------------------------------
 
 LINE_ID = "l_orderkey * 8 + l_linenumber"
@@ -670,3 +762,17 @@ def event_islands(spark: SparkSession, d: str) -> DataFrame:
     """Runs of events of one type per user."""
     e = table(spark, d, "events").withColumn("o", F.struct("ts", "event_id"))
     return relational.islands(e, ["user_id"], "o", F.col("event_type")).groupBy("user_id").agg(long(F.max("island")).alias("islands"))
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def dearest_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The top of a global order: each task keeps its own 25, no full sort."""
+    return table(spark, d, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
+
+
+BIG_CUSTOMERS = "WITH t AS (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT c_custkey, n FROM {customer} JOIN t ON c_custkey = o_custkey WHERE n > (SELECT avg(n) FROM t) AND c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey < 3) AND EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
+
+
+@query(BIG_CUSTOMERS.format(orders="orders", customer="customer", nation="nation"))
+def sql_subqueries(spark: SparkSession, d: str) -> DataFrame:
+    """A statement in SQL: a common table expression, a scalar, an IN and a correlated subquery."""
+    return spark.sql(BIG_CUSTOMERS, **{t: table(spark, d, t) for t in ("orders", "customer", "nation")})
