@@ -46,16 +46,40 @@ def chains(text: str) -> list[list[str]]:
     return [w for line in text.lower().split("\n") if (w := WORD.findall(line))]
 
 
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def all_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of each word, and how many it has: prefixes, suffixes (of one to four letters), inner n-grams (two
+    and three characters, the word's ends among them), length class and the word itself, over all its letters; all words
+    at once, each feature of a word once."""
+    marked = [f"^{w}$" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = np.fromiter(map(len, marked), np.int64, len(marked))
+    row = np.repeat(np.arange(len(n)), n)
+    begin = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)  # a character's place, and how many follow with it
+    left = np.repeat(n, n) - begin
+    owner, names = [np.arange(len(n))] * 2, [np.fromiter(map(xxhash.xxh3_64_intdigest, marked), np.uint64, len(n)), np.minimum(n, 14).astype(np.uint64) * M3]
+    gram = codes.copy()
+    for k in (2, 3, 4, 5):
+        gram = gram[:-1] * M1 + codes[k - 1 :] * M2
+        gram ^= gram >> np.uint64(31)
+        at, rest = begin[: len(gram)], left[: len(gram)]
+        whole = rest >= k
+        for salt, pick in (("g", whole if k < 4 else None), ("p", whole & (at == 0)), ("s", rest == k)):
+            if pick is not None:
+                hit = np.flatnonzero(pick)
+                owner.append(row[hit])
+                names.append((gram[hit] + np.uint64(ord(salt) * 8 + k)) * M3)
+    x = np.concatenate(names)
+    x = ((x ^ (x >> np.uint64(29))) * M2) >> np.uint64(64 - BITS)
+    pairs = np.sort((np.concatenate(owner) << BITS) | x.astype(np.int64))
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+    return pairs & ((1 << BITS) - 1), np.bincount(pairs >> BITS, minlength=len(n))
+
+
 def features(word: str) -> list[int]:
-    """Hashed prefixes, suffixes, inner n-grams, length class and the word itself, over all its letters."""
-    marked = f"^{word}$"
-    names = {marked, f"n{min(len(word), 12)}"}
-    for n in (1, 2, 3, 4):
-        names.add("p" + marked[: n + 1])
-        names.add("s" + marked[-n - 1 :])
-    for n in (2, 3):
-        names.update("g" + marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [xxhash.xxh32_intdigest(x) >> (32 - BITS) for x in names]
+    return all_features([word])[0].tolist()
 
 
 class Crf:
@@ -82,17 +106,15 @@ class Crf:
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows[: len(self.memo)], np.zeros((2 * need - len(self.memo), self.rows.shape[1]), np.float32)])
         if new:
-            f = [features(w) for w in new]
+            flat, n = all_features(new)
             first = len(self.memo)
-            ends = np.cumsum([len(x) for x in f])
-            flat = np.fromiter((i for x in f for i in x), np.int64, ends[-1])
-            sums = np.add.reduceat(self.emit[flat], np.concatenate([[0], ends[:-1]]), axis=0)
+            sums = np.add.reduceat(self.emit[flat], np.cumsum(n) - n, axis=0)
             for k, w in enumerate(new):
                 if w in self.lexicon:
                     sums[k] += self.lexicon[w]
                 self.memo[w] = first + k
                 self.held += len(w)
-            self.rows[first : first + len(f)] = sums
+            self.rows[first : first + len(new)] = sums
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         return self.rows[at]
 
@@ -177,12 +199,10 @@ def learn(texts: list[tuple[str, str]], seed: int = 3, steps: int = STEPS) -> Cr
         counts[i][w] += 1
     lexicon = {w for i in counts for w, _ in counts[i].most_common(LEXICON)}
     lex_of = {w: i for i, w in enumerate(sorted(lexicon))}
-    f = [features(w) for w in vocabulary]
-    n_f = np.array([len(x) for x in f])
-    flat = np.fromiter((i for x in f for i in x), np.int64, int(n_f.sum()))
+    flat, n_f = all_features(list(vocabulary))
     used, flat = np.unique(flat, return_inverse=True)
     bounds = np.cumsum(n_f) - n_f
-    row = np.repeat(np.arange(len(f)), n_f)
+    row = np.repeat(np.arange(len(n_f)), n_f)
     lex = np.array([lex_of.get(w, -1) for w in vocabulary])
     has = lex >= 0
     params = [np.zeros((len(used), k)), np.zeros((len(lex_of), k)), np.eye(k), np.zeros(k)]
@@ -199,7 +219,7 @@ def learn(texts: list[tuple[str, str]], seed: int = 3, steps: int = STEPS) -> Cr
         scores = np.add.reduceat(emit[flat], bounds, axis=0)
         scores[has] += lex_w[lex[has]]
         marginal, moves, first, _ = forward_backward(scores[at], lengths, move, start, pairs=True)
-        diff = np.stack([np.bincount(at, weights=(marginal - observed)[:, i], minlength=len(f)) for i in range(k)], axis=1)
+        diff = np.stack([np.bincount(at, weights=(marginal - observed)[:, i], minlength=len(n_f)) for i in range(k)], axis=1)
         g_emit = np.stack([np.bincount(flat, weights=diff[row, i], minlength=len(used)) for i in range(k)], axis=1)
         g_lex = np.stack([np.bincount(lex[has], weights=diff[has, i], minlength=len(lex_of)) for i in range(k)], axis=1)
         grads = [g_emit, g_lex, moves - seen_moves, first - seen_starts]
