@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -32,6 +33,55 @@ def test_navigation(spark):
     assert navigate.cover(n, far).first()["node_id"] == 0
 
 
+def test_branches_equal_pairs(spark):
+    """Sweeps over a branch give what comparing all pairs of nodes gives, on random trees, filtered ones too."""
+    rng = random.Random(5)
+
+    def value(deep):
+        kind = rng.random()
+        if deep == 0 or kind < 0.3:
+            return rng.choice([1, "x", None, True, {}, []])
+        return [value(deep - 1) for _ in range(rng.randint(0, 3))] if kind < 0.6 else {f"k{i}": value(deep - 1) for i in range(rng.randint(0, 3))}
+
+    texts = [json.dumps({"a": value(5), "b": value(4)}) for _ in range(8)] + ["{", "", '{"a" [1, {}]}', "[]"]
+    p = parsed(spark, *texts).cache()
+    n = parse.nodes(p)
+    rows = n.collect()
+    trees = {}
+    for r in rows:
+        if r["pre"] is not None:
+            trees.setdefault(r["doc_id"], []).append(r)
+    pairs = {(d, a["node_id"], x["node_id"]) for d, t in trees.items() for a in t for x in t if a["pre"] < x["pre"] <= a["post"]}
+    assert {(r["doc_id"], r["ancestor_id"], r["node_id"]) for r in navigate.descendants(n).collect()} == pairs
+    own = {(d, x["node_id"], x["node_id"]) for d, t in trees.items() for x in t}
+    got = navigate.descendants(n, proper=False).collect()
+    assert {(r["doc_id"], r["ancestor_id"], r["node_id"]) for r in got} == pairs | own and len(got) == len(pairs | own)
+    by = {(r["doc_id"], r["node_id"]): r for r in rows}
+    up = lambda r: sorted((by[d, a] for d, a, x in pairs if (d, x) == (r["doc_id"], r["node_id"])), key=lambda a: a["depth"])
+    scope = {(r["doc_id"], r["node_id"]): ([a["node_id"] for a in up(r) if a["name"] in ("Object", "Array")] or [None])[-1] for r in rows}
+    assert {(r["doc_id"], r["node_id"]): r["scope_id"] for r in navigate.scopes(n, ("Object", "Array")).collect()} == scope
+    some = n.where("name IN ('Member', 'Array')")
+    want = {(r["doc_id"], r["node_id"]): "/".join(f"{a['name']}{a['node_id']}" for a in [*up(r), r] if a["name"] in ("Member", "Array")) for r in rows if r["name"] in ("Member", "Array") and r["pre"] is not None}
+    assert {(r["doc_id"], r["node_id"]): r["path"] for r in navigate.paths(some, F.concat("name", "node_id")).collect()} == want
+    spans = [(d, a, a + w) for d, text in enumerate(texts) for a in range(0, len(text) + 1, 3) for w in (0, 2, 9)] * 2
+    met = navigate.cover(n, spark.createDataFrame(spans, "doc_id long, start int, end int")).collect()
+    assert len(met) == len(set(spans))
+    for r in met:
+        inside = [x for x in rows if x["doc_id"] == r["doc_id"] and x["start"] is not None and x["start"] <= r["start"] and x["end"] >= r["end"]]
+        deepest = max((x["depth"] or 0 for x in inside), default=0)
+        assert (by[r["doc_id"], r["node_id"]]["depth"] or 0) == deepest
+        assert r["node_id"] in {x["node_id"] for x in inside} | {0}
+
+
+def test_a_deep_tree_is_read_once(spark):
+    """A chain of 20,000 nodes with a span at each: work along the branch, not over pairs."""
+    k = spark.range(20000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("node_id"), F.when(F.col("id") % 5000 == 0, "Scope").otherwise("N").alias("name"), F.col("id").cast("int").alias("pre"), F.lit(19999).alias("post"), F.col("id").cast("int").alias("depth"), F.col("id").cast("int").alias("start"), (40000 - F.col("id")).cast("int").alias("end"))
+    s = navigate.scopes(k, ("Scope",)).groupBy("scope_id").count().collect()
+    assert {r["scope_id"]: r["count"] for r in s} == {None: 1, 0: 5000, 5000: 5000, 10000: 5000, 15000: 4999}
+    c = navigate.cover(k, k.select("doc_id", "start", "end"))
+    assert c.where("node_id <> start").count() == 0 and c.count() == 20000
+
+
 def test_positions(spark):
     texts = ["", "\n", "ab\ncd\r\n", "щ😀\nx", "one line"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
