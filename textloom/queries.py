@@ -13,7 +13,7 @@ from .functions import characters, positions
 from .operators import lex, navigate, parse, relational
 from .plans.lexical import TokenSet
 from .report import messages
-from .semantics import chains, modules
+from .semantics import attributes, chains, modules
 from .session import cut, folder, table
 from .sources.workspace import Workspace
 from .streaming import edits, revisions
@@ -624,6 +624,56 @@ def attr_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return revisions.verified(old, new, 2).select("attr_id", "value", "updated_at")
 
 
+@query("WITH e AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, CASE event_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS more FROM events) SELECT event_id AS doc_id, (3 * (k + more))::VARCHAR AS total, (3 * (k + more)) <> k AS total_changed, ((k + more) % 2)::VARCHAR AS parity, (more = 1) AS parity_changed FROM e WHERE event_id % 5 <> 0")
+def attribute_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Two attributes over every event's text: an object's total (its numbers, read as tokens, times a slot) and the
+    root's parity, which reads the total. Then numbers grow by two, by one or not at all, a fifth of the documents goes,
+    and the slot turns from 1 to 3: the parity changes only with numbers that grew by one."""
+    w = Workspace(spark, grammars.json_syntax())
+    w.mutate_slot("factor", lambda _: (True, 1))
+    w.add_mutable(props(spark, d))
+
+    def total_reads(t: attributes.Trees) -> DataFrame:
+        objects = t.nodes.where("name = 'Object'").select("doc_id", "node_id")
+        below = navigate.descendants(t.nodes).where("ancestor_name = 'Object' AND name = 'Number'")
+        numbers = below.select("doc_id", F.col("ancestor_id").alias("node_id"), F.lit("number").alias("key"), attributes.token("doc_id", "node_id", "value").alias("on"))
+        return objects.select("*", F.lit("factor").alias("key"), attributes.slot("factor").alias("on")).unionByName(numbers)
+
+    def total(key, read):
+        of = lambda k: F.when(key == k, read).try_cast("long")
+        return F.sum(of("number")) * F.max(of("factor"))
+
+    def parity_reads(t: attributes.Trees) -> DataFrame:
+        top = t.captures.where("name = 'Root' AND kind = 'node'")
+        return top.select("doc_id", "node_id", F.lit("total").alias("key"), attributes.attribute("doc_id", "ref_id", "total").alias("on"))
+
+    g = attributes.AttributeGraph(w, [attributes.Attribute("total", total_reads, total), attributes.Attribute("parity", parity_reads, lambda _, read: F.max(read.try_cast("long") % 2))])
+    g.refresh()
+    first = w.revision
+    number = F.substring_index(F.substring_index("text", ": ", -1), "}", 1).cast("long")
+    grown = w.docs.where("doc_id % 4 IN (1, 2)").select("doc_id", (number + F.when(F.col("doc_id") % 4 == 1, 2).otherwise(1)).cast("string").alias("new"), F.length("text").alias("n"))
+    w.write(grown.select("doc_id", F.lit(1).cast("long").alias("seq"), F.lit(6).cast("long").alias("start"), (F.col("n") - 1).cast("long").alias("end"), F.col("new").alias("text")))
+    w.remove(w.docs.where("doc_id % 5 = 0").select("doc_id"))
+    w.mutate_slot("factor", lambda _: (True, 3))
+    g.refresh()
+    of = lambda name: g.snapshot(name).select("doc_id", F.col("value").alias(name), (F.col("updated_at") > first).alias(f"{name}_changed"))
+    return of("total").join(of("parity"), "doc_id")
+
+
+@query("WITH c AS (SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 7 <> 0) SELECT doc_id, 'scalar' AS class, CASE doc_id % 3 WHEN 0 THEN 1 ELSE 2 END::BIGINT AS n FROM c UNION ALL SELECT doc_id, 'large', 1 FROM c WHERE doc_id > 99 AND doc_id % 3 = 0")
+def workspace_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Class snapshots before and after changes: a class of rules and one of a condition on the nodes' text. Two thirds of
+    the numbers give way to an array of two, a seventh of the documents goes."""
+    w = Workspace(spark, grammars.json_syntax(), {"large": (F.col("name") == "Number") & (F.length("text") > 2)})
+    of = F.col("doc_id")
+    w.add_mutable(table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit('{"k": '), F.col("c_custkey").cast("string"), F.lit("}")).alias("text")))
+    w.snapshot_class("scalar")
+    w.write(w.docs.where(of % 3 != 0).select("doc_id", F.lit(1).cast("long").alias("seq"), F.lit(6).cast("long").alias("start"), (F.length("text") - 1).cast("long").alias("end"), F.lit("[1, true]").alias("text")))
+    w.remove(w.docs.where(of % 7 == 0).select("doc_id"))
+    both = w.snapshot_class("scalar").unionByName(w.snapshot_class("large"))
+    return both.groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
 def thirds(df: DataFrame, by: str) -> list[DataFrame]:
     """The rows in three ranges of ``by``, in order; all at once if there are none."""
     low, high = df.agg(F.min(by), F.max(by)).first()
