@@ -1,8 +1,10 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom import grammars
+from textloom.operators import lex
 from textloom.plans.automata import GrammarError
 from textloom.plans.lexical import LexicalGrammar, NodeSet, TokenRule, TokenSet
 
@@ -161,3 +163,32 @@ def test_token_at_site_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda *_: events)
     got = {tuple(r) for r in queries.json_token_at_site(spark, "").collect()}
     assert got == {(1, 4, "Colon", 4), (2, 5, "Blank", 5), (3, 1, "BraceClose", 1)}
+
+
+def test_token_counts_equal_rows(spark):
+    """Sums in the kernel are those of the token rows, by patterns and by the automaton; so are the arrays of a scan."""
+    texts = ["", None, "one two", "éé??ab é", "x" * 3000 + " 12 " * 50, "ab\tcd\n\n??", "??"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for g in (grammars.word_lexis(), grammars.json_lexis(), grammars.LINES):
+        for automaton in (False, True) if hasattr(g, "scan_states") else (False,):
+            rows = lex.lex(docs, g, automaton=automaton).groupBy("name").agg(F.count("*").alias("n"), F.sum("length").alias("chars"))
+            assert sorted(map(tuple, lex.token_counts(docs, g, automaton).collect())) == sorted(map(tuple, rows.collect()))
+    for g in (grammars.word_lexis(), grammars.json_lexis()):
+        for text in filter(None, texts):
+            assert list(map(tuple, g.arrays(text).T.tolist())) == list(g.scan(text)) == list(g.scan_states(text))
+
+
+def test_runs_of_classes():
+    """Grammars of runs are told from others, and scan alike by runs, by patterns and by states."""
+    assert grammars.word_lexis().runs and grammars.letter_lexis().runs and not grammars.json_lexis().runs
+    two = LexicalGrammar("two", [TokenRule("Same", "['a'..'c']+ | ['x', 'y']+"), TokenRule("Dot", "'.'")])
+    pair = LexicalGrammar("pair", [TokenRule("Same", "['a'..'c']+ | ['x', 'y']+")])
+    assert not two.runs and pair.runs
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.text(alphabet="abxy .\n9é😀\u0301", max_size=30) | st.text(max_size=30))
+    def same(text):
+        for g in (grammars.word_lexis(), grammars.letter_lexis(), pair, two):
+            assert list(map(tuple, g.arrays(text).T.tolist())) == list(g.scan(text)) == list(g.scan_states(text))
+
+    same()

@@ -50,24 +50,23 @@ def lex(docs: DataFrame, grammar, columns: tuple[str, ...] | None = None, automa
     asked = {n for n, _ in fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = grammar.scan_states if automaton else grammar.scan
+        scan = _scanner(grammar, automaton)
         names = pa.array(grammar.names, pa.string())
         for batch in slices(batches):
             parts: dict[str, list] = {n: [] for n in asked | {"rule"}}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.array(list(scan(text)) if text else (), np.int32).reshape(-1, 3)
-                rule, start, length = found.T
+                rule, start, length = scan(text or "")
                 parts["rule"].append(rule)
                 if "doc_id" in asked:
-                    parts["doc_id"] += [doc] * len(found)
+                    parts["doc_id"] += [doc] * len(rule)
                 if "tok_idx" in asked:
-                    parts["tok_idx"].append(np.arange(len(found), dtype=np.int32))
+                    parts["tok_idx"].append(np.arange(len(rule), dtype=np.int32))
                 if "start" in asked:
                     parts["start"].append(start)
                 if "length" in asked:
                     parts["length"].append(length)
                 if "string" in asked:
-                    parts["string"] += [text[a : a + n] for _, a, n in found.tolist()]
+                    parts["string"] += [text[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
                 if "byte_start" in asked and text:
                     parts["byte_start"].append(byte_starts(text, start))
             rules = np.concatenate(parts["rule"])
@@ -86,6 +85,35 @@ def lex(docs: DataFrame, grammar, columns: tuple[str, ...] | None = None, automa
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def _scanner(grammar, automaton: bool = False):
+    """A function from a text to the rules, starts and lengths of its tokens, as arrays."""
+    if not automaton and hasattr(grammar, "arrays"):
+        return grammar.arrays
+    scan = grammar.scan_states if automaton else grammar.scan
+    return lambda text: np.array(list(scan(text)), np.int32).reshape(-1, 3).T
+
+
+def token_counts(docs: DataFrame, grammar, automaton: bool = False) -> DataFrame:
+    """Tokens of all texts by rule name: name, n, chars. The kernel adds up each slice before rows leave it, so that the
+    shuffle gets a row per slice and rule instead of one per token."""
+    attach(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _scanner(grammar, automaton)
+        names, width = pa.array(grammar.names, pa.string()), len(grammar.names)
+        for batch in slices(batches):
+            n, chars = np.zeros(width, np.int64), np.zeros(width, np.int64)
+            for text in batch.column(0).to_pylist():
+                rule, _, length = scan(text or "")
+                n += np.bincount(rule, minlength=width)
+                chars += np.bincount(rule, length, width).astype(np.int64)
+            there = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(there)), pa.array(n[there]), pa.array(chars[there])], ["name", "n", "chars"])
+
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "name string, n long, chars long")
+    return parts.groupBy("name").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+
 def token_name(piece: Column, names: dict[str, str]) -> Column:
     """Name of a token by its text: the first pattern (Java regular expression) that matches all of it."""
     out = F.lit("Mismatch")

@@ -112,8 +112,7 @@ def json_token_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(ORACLES["json_token_counts"])
 def json_token_counts_automaton(spark: SparkSession, d: str) -> DataFrame:
     """The same by the automaton, character by character."""
-    t = lex.lex(props(spark, d), grammars.json_lexis(), ("name", "length"), automaton=True)
-    return t.groupBy(F.col("name").alias("token")).agg(F.count(F.lit(1)).alias("n"), long(F.sum("length")).alias("chars"))
+    return lex.token_counts(props(spark, d), grammars.json_lexis(), automaton=True).withColumnRenamed("name", "token")
 
 
 @query(f"WITH {JSON_PIECES} SELECT doc_id, tok_idx::BIGINT AS tok_idx, name, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(s) AS length FROM tok")
@@ -157,9 +156,8 @@ m AS (SELECT *, CASE WHEN name = 'Mismatch' AND lag(name) OVER (PARTITION BY doc
 
 @query(f"WITH {WORD_RUNS} SELECT name, sum(fresh)::BIGINT AS n, sum(length(s))::BIGINT AS chars FROM m GROUP BY 1")
 def doc_mismatch_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of documents under ASCII words: mismatches merged, by the kernel's search."""
-    t = lex.lex(documents(spark, d), grammars.word_lexis(), ("name", "length"))
-    return t.groupBy("name").agg(F.count(F.lit(1)).alias("n"), long(F.sum("length")).alias("chars"))
+    """Tokens of documents under ASCII words: mismatches merged, by changes of the character class."""
+    return lex.token_counts(documents(spark, d), grammars.word_lexis())
 
 
 @query("SELECT lang, sum(len(regexp_extract_all(text, '\\p{L}+')))::BIGINT AS words FROM documents GROUP BY 1")
