@@ -62,3 +62,34 @@ def test_modules(spark):
         "n0.a": ("number", "5"), "n0.b": ("number", "5"), "n0.c": ("unresolved", None), "n0.d": ("recursive", None),
         "n1.x": ("number", "5"), "n1.y": ("recursive", None), "n1.z": ("recursive", None), "n1.w": ("unresolved", None),
     }
+
+
+def test_texts_and_rows_resolve_alike(spark):
+    """Programs parsed and resolved in one kernel: broken ones, names of other blocks, deep ones, null texts."""
+    rng = random.Random(9)
+    texts = [render(make(rng)) for _ in range(40)]
+    texts += [t.replace(c, "", 1) for t in texts[:10] for c in ";={}"] + ["{ a = 1; { a = 2; } { b = a; } c = a; }", "{ = 5; a = ; b = a; }", "", None, "{ 7 }"]
+    deep = [("y", "base")]
+    for _ in range(400):
+        deep = [("own", "base"), deep]
+    texts.append(render([("base", 5), deep]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p = parse.parse(docs, grammars.chain_syntax(), ("node", "cap"))
+    columns = ("doc_id", "key_id", "key", "value", "status")
+    rows = sorted(map(tuple, chains.resolve(parse.nodes(p), parse.captures(p)).select(*columns).collect()))
+    assert sorted(map(tuple, chains.resolve_documents(docs).select(*columns).collect())) == rows
+    assert sum(r[3] == "5" for r in rows if r[0] == len(texts) - 1) == 402
+
+
+def test_a_tree_is_made_once_per_sequence_of_tokens(spark):
+    """Texts that differ in names and numbers only are parsed once; rows are those of a parse of each text."""
+    grammar, made = grammars.chain_syntax(), []
+    trees = parse.Trees(grammar, lambda rules: made.append(rules) or len(made))
+    assert [trees.of(f"{{ k{i} = {i * 37}; }}")[0] for i in range(50)] == [1] * 50
+    assert trees.of("{ k = k; }")[0] == 2 and len(made) == 2
+    texts = ["{ ab = 1; { c = ab; } }", "{ x = 12345; { yy = x; } }", "{ ab = 1; { c = ; } } }", "", "{ é = 1; }"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [r.asDict() for r in parse.parse(docs, grammar, ("node", "cap")).collect()]
+    names = [n for n, _ in parse.FIELDS]
+    want = [{n: r.get(n) for n in names} | {"doc_id": i} for i, t in enumerate(texts) for r in parse.tree_rows(grammar, t, frozenset({"node", "cap"}))]
+    assert got == want

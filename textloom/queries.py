@@ -14,7 +14,7 @@ from .operators import lex, navigate, parse, relational
 from .plans.lexical import TokenSet
 from .report import messages
 from .semantics import attributes, chains, modules
-from .session import cut, folder, table
+from .session import cut, folder, spread, table
 from .sources.workspace import Workspace
 from .streaming import edits, revisions
 
@@ -478,11 +478,10 @@ def workspace_change_feed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH RECURSIVE s AS (SELECT event_id, 1 AS step FROM events UNION ALL SELECT event_id, step + 1 FROM s WHERE step < 40) SELECT event_id AS doc_id, 'x' || step AS key, 'number' AS status, event_id::VARCHAR AS value FROM s")
 def chain_of_forty(spark: SparkSession, d: str) -> DataFrame:
-    """A chain of forty names per event, each set to the one before: pointer doubling finds the number at its start."""
+    """A chain of forty names per event, each set to the one before, back to the number at its start."""
     links = "".join(f"x{i} = x{i - 1}; " for i in range(2, 41))
-    docs = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("{ x1 = "), F.col("event_id").cast("string"), F.lit(f"; {links}}}")).alias("text"))
-    p = cut(parse.parse(docs, grammars.chain_syntax(), ("node", "cap")))
-    return chains.resolve(parse.nodes(p), parse.captures(p)).select("doc_id", "key", "status", "value")
+    docs = spread(table(spark, d, "events").select("event_id")).select(F.col("event_id").alias("doc_id"), F.concat(F.lit("{ x1 = "), F.col("event_id").cast("string"), F.lit(f"; {links}}}")).alias("text"))
+    return chains.resolve_documents(docs).select("doc_id", "key", "status", "value")
 
 
 # -- expressions and semantics ------------------------------------------------------------------------------------------------

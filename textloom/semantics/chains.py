@@ -1,4 +1,4 @@
-"""Chain analysis as joins: assignments in nested blocks, references resolved outwards.
+"""Chain analysis: assignments in nested blocks, references resolved outwards, by one pass over a document.
 
 A reference takes what an earlier assignment of the same block gave its name; else it looks outwards in the snapshot of
 the enclosing block's names at the point where the block starts. The result is a number or broken.
@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..session import cut
+from .. import grammars
+from ..operators import navigate, parse
 
 
 def assignments(nodes: DataFrame, caps: DataFrame) -> DataFrame:
@@ -23,33 +25,100 @@ def assignments(nodes: DataFrame, caps: DataFrame) -> DataFrame:
     return stmt.join(parts, ["doc_id", "stmt"]).where(F.col("key").isNotNull())
 
 
+class Names:
+    """The names of the blocks that are open, while a document's blocks and assignments come in order. A name has its
+    values from the outermost block inwards, so that a look-up is one step, whatever the depth."""
+
+    def __init__(self) -> None:
+        self.blocks: list[tuple[int, list[str]]] = []
+        self.values: dict[str, list[tuple[int, str | None]]] = {}
+
+    def _inside(self, block_id: int | None) -> None:
+        """Close the blocks that don't hold what comes."""
+        while self.blocks and self.blocks[-1][0] != block_id:
+            for name in self.blocks.pop()[1]:
+                self.values[name].pop()
+
+    def enter(self, block_id: int, outer: int | None) -> None:
+        self._inside(outer)
+        self.blocks.append((block_id, []))
+
+    def assign(self, block_id: int, key: str, number: str | None, ref: str | None) -> str | None:
+        """The value of the assignment: a number's text, or null."""
+        self._inside(block_id)
+        seen = self.values.get(ref) if number is None else None
+        value = seen[-1][1] if seen else number
+        at = len(self.blocks)
+        own = self.values.setdefault(key, [])
+        if own and own[-1][0] == at:
+            own[-1] = (at, value)
+        elif at:
+            own.append((at, value))
+            self.blocks[-1][1].append(key)
+        return value
+
+
+RESULT = "key_id int, key string, value string"
+
+
+def _status(df: DataFrame) -> DataFrame:
+    return df.withColumn("status", F.when(F.col("value").isNotNull(), "number").otherwise("broken"))
+
+
 def resolve(nodes: DataFrame, caps: DataFrame) -> DataFrame:
     """Per key: doc_id, key_id, key, value (a number's text or null), status (number or broken).
 
-    First every reference finds the assignment it takes its value from: the latest earlier one of the name in the block
-    it looks in, or, if there is none, outwards in the block around; a round per level. Then pointer doubling follows
-    the assignments found, in a logarithmic number of rounds. Each step goes to an earlier place of the document, so
-    that both loops end when nothing is open, after no more rounds than there are blocks and assignments.
-    """
-    a = cut(assignments(nodes, caps))
-    blocks = cut(nodes.where(F.col("name") == "Block").select(F.col("doc_id").alias("bd"), F.col("node_id").alias("b"), F.col("parent_id").alias("outer"), F.col("pre").alias("b_ord")))
-    d = a.select(F.col("doc_id").alias("d"), F.col("block_id").alias("db"), F.col("key").alias("dk"), F.col("ord").alias("do"), F.col("key_id").alias("dt"))
-    todo = a.where("number IS NULL AND ref IS NOT NULL AND block_id IS NOT NULL").select("doc_id", "key_id", F.col("ref").alias("want"), F.col("block_id").alias("look_in"), F.col("ord").alias("before"))
-    links = a.limit(0).select("doc_id", "key_id", F.col("key_id").alias("to"))
-    while todo.limit(1).count():
-        # As-of join: the latest assignment of the name before this place in the block.
-        on = (F.col("doc_id") == F.col("d")) & (F.col("look_in") == F.col("db")) & (F.col("want") == F.col("dk")) & (F.col("do") < F.col("before"))
-        met = todo.join(d, on, "left").groupBy("doc_id", "key_id", "want", "look_in", "before").agg(F.max(F.struct("do", "dt")).alias("hit"))
-        met = cut(met.join(blocks, (F.col("doc_id") == F.col("bd")) & (F.col("look_in") == F.col("b")), "left"))
-        links = links.unionByName(met.where("hit.do IS NOT NULL").select("doc_id", "key_id", F.col("hit.dt").alias("to")))
-        # Not found: the same name in the block around, before this block.
-        todo = met.where("hit.do IS NULL AND outer > 0").select("doc_id", "key_id", "want", F.col("outer").alias("look_in"), F.col("b_ord").alias("before"))
-    state = cut(a.select("doc_id", "key_id", "key", F.col("number").alias("value")).join(links, ["doc_id", "key_id"], "left"))
-    while state.where("to IS NOT NULL").limit(1).count():
-        ahead = state.select("doc_id", F.col("key_id").alias("to"), F.col("value").alias("v"), F.col("to").alias("next"))
-        met = state.join(ahead, ["doc_id", "to"], "left")
-        state = cut(met.select("doc_id", "key_id", "key", F.coalesce("value", "v").alias("value"), F.col("next").alias("to")))
-    return state.select("doc_id", "key_id", "key", "value").withColumn("status", F.when(F.col("value").isNotNull(), "number").otherwise("broken"))
+    Blocks and assignments of a document go by once, in order of entry: what an earlier assignment gave a name is known
+    when a reference to it comes. Work grows with the statements, memory with the names of the blocks that are open."""
+    a = assignments(nodes, caps).select("doc_id", F.col("ord").alias("pre"), F.col("block_id").alias("up"), "key_id", "key", "number", "ref")
+    b = nodes.where(F.col("name") == "Block").select("doc_id", "pre", F.col("parent_id").alias("up"), F.col("node_id").alias("block_id"))
+    rows = a.unionByName(b, allowMissingColumns=True).select("doc_id", "up", "block_id", "key_id", "key", "number", "ref", "pre")
+
+    def start():
+        names = Names()
+
+        def step(up, block_id, key_id, key, number, ref, _):
+            if key_id is None:
+                names.enter(block_id, up)
+                return []
+            return [(key_id, key, names.assign(up, key, number, ref))]
+
+        return step
+
+    return _status(navigate.sweep(rows, ["pre"], StructType.fromDDL(f"doc_id long, {RESULT}"), start))
+
+
+def resolve_documents(docs: DataFrame) -> DataFrame:
+    """The same from texts (doc_id, text), parsed and resolved in one kernel."""
+    return _status(parse.fold(docs, grammars.chain_syntax(), _plan, RESULT))
+
+
+def _plan(rows: list[dict]):
+    """Blocks and assignments of a tree in order: (block, outer), or (block, key's node, tokens of key, number, ref)."""
+    nodes = sorted((r for r in rows if r["kind"] == "node" and r["pre"] is not None), key=lambda r: r["pre"])
+    token = {r["id"]: r["ref_id"] for r in rows if r["kind"] == "cap" and r["ref_kind"] == "token"}
+    parts: dict[tuple, int] = {(r["parent_id"], r["name"]): r["id"] for r in nodes}
+    steps: list[tuple] = []
+    for r in nodes:
+        if r["name"] == "Block":
+            steps.append((r["id"], r["parent_id"]))
+        elif r["name"] == "Assignment":
+            key, number, ref = (parts.get((r["id"], x)) for x in ("Key", "Number", "Reference"))
+            if token.get(key) is not None:
+                steps.append((r["parent_id"], key, token[key], token.get(number), token.get(ref)))
+
+    def run(string):
+        names, out = Names(), []
+        for s in steps:
+            if len(s) == 2:
+                names.enter(*s)
+            else:
+                block, key_id, key, number, ref = s
+                key = string(key)
+                out.append((key_id, key, names.assign(block, key, None if number is None else string(number), None if ref is None else string(ref))))
+        return out
+
+    return run
 
 
 def latest_by_ordinal(a: DataFrame) -> DataFrame:
