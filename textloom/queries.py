@@ -77,7 +77,7 @@ def chain_programs(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("o_custkey").cast("string")
     inner = F.concat(F.lit("{ copied = base; base = "), (F.col("o_custkey") + 1).cast("string"), F.lit("; again = base; lost = nowhere; { deep = again; up = first; } }"))
     text = F.concat(F.lit("{ base = "), c, F.lit("; first = base; "), inner, F.lit(" last = base; later = missing; }"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey")).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 def customer_modules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -529,9 +529,7 @@ def bool_tree_depth(spark: SparkSession, d: str) -> DataFrame:
     "SELECT o_orderkey AS doc_id, key, status, CASE WHEN status = 'number' THEN (o_custkey + plus)::VARCHAR END AS value FROM orders, (VALUES ('base', 'number', 0), ('first', 'number', 0), ('copied', 'number', 0), ('base', 'number', 1), ('again', 'number', 1), ('lost', 'broken', 0), ('deep', 'number', 1), ('up', 'number', 0), ('last', 'number', 0), ('later', 'broken', 0)) t(key, status, plus)"
 )
 def chain_resolution(spark: SparkSession, d: str) -> DataFrame:
-    p = parse.parse(chain_programs(spark, d), grammars.chain_syntax(), ("node", "cap"))
-    p = cut(p)
-    return chains.resolve(parse.nodes(p), parse.captures(p)).select("doc_id", "key", "status", "value")
+    return chains.resolve_documents(chain_programs(spark, d)).select("doc_id", "key", "status", "value")
 
 
 @query("SELECT 'all_keys' AS class, 10 * count(*) AS n, count(*) AS docs FROM orders")
