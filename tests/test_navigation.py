@@ -124,3 +124,13 @@ def test_entry_point(spark):
 
     assert e.queries().keys() >= e.oracle_sql().keys()
     assert e.entry(spark).count() > 0
+
+
+def test_scopes_of_the_grammar_come_with_the_tree(spark):
+    """scope_id of the kernel is that of the sweep, and only columns asked for leave the kernel."""
+    texts = ["{ a = 1; { b = a; { c = b; } d = a; } e = 1; }", "{ a = ; } }", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = parse.nodes(parse.parse(docs, grammars.chain_syntax(), ("node",), ("id", "name", "scope_id")))
+    assert asked.columns == ["doc_id", "node_id", "name", "scope_id"]
+    swept = navigate.scopes(parse.nodes(parse.parse(docs, grammars.chain_syntax(), ("node",))), ("Block",)).select(*asked.columns)
+    assert sorted(map(repr, asked.collect())) == sorted(map(repr, swept.collect()))

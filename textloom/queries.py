@@ -541,11 +541,12 @@ def chain_class_allkeys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (1, 4), (2, 4), (3, 2)) t(scope_depth, per), (SELECT count(*) AS docs FROM orders)")
 def scope_of_node(spark: SparkSession, d: str) -> DataFrame:
-    """Assignments by the depth of their scope."""
-    n = parse.nodes(parse.parse(chain_programs(spark, d), grammars.chain_syntax(), ("node",)))
-    s = navigate.scopes(n, ("Block",)).where("name = 'Assignment'")
-    b = n.where("name = 'Block'").select("doc_id", F.col("node_id").alias("scope_id"), F.col("depth").alias("scope_depth"))
-    per = s.join(b, ["doc_id", "scope_id"]).groupBy("doc_id", "scope_depth").agg(F.count(F.lit(1)).alias("per"))
+    """Assignments by the depth of their scope: both meet at the scope's id."""
+    n = parse.nodes(parse.parse(chain_programs(spark, d), grammars.chain_syntax(), ("node",), ("id", "name", "depth", "scope_id")))
+    block = F.col("name") == "Block"
+    at = n.where("name IN ('Block', 'Assignment')").select("doc_id", F.when(block, F.col("node_id")).otherwise(F.col("scope_id")).alias("at"), F.when(block, F.col("depth")).alias("depth"))
+    scope = at.repartition("doc_id").groupBy("doc_id", "at").agg(F.max("depth").alias("scope_depth"), F.count_if(F.col("depth").isNull()).alias("n"))
+    per = scope.where("n > 0 AND at IS NOT NULL").groupBy("doc_id", "scope_depth").agg(F.sum("n").alias("per"))
     return per.groupBy("scope_depth", per["per"].cast("int").alias("per")).agg(F.count(F.lit(1)).alias("docs"))
 
 
