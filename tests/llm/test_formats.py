@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -141,3 +142,12 @@ def test_op5(spark, docs, rows, no_docs, patch_tables):
     for r in got:
         assert same.setdefault(r["payload_sha256"], (r["media_sha256"], r["media_bytes"], r["feature"])) == (r["media_sha256"], r["media_bytes"], r["feature"])
     assert iso_media.media_features(iso_media.media_table(no_docs)).count() == 0
+
+
+def test_archive_index_is_one_file(spark):
+    """However many tasks write archives, their index makes one file, and no file that marks it complete."""
+    pages = spark.createDataFrame(page_rows(), PAGES).repartition(9)
+    index = warc.write_warc(pages)
+    assert len(index.inputFiles()) == 1 and index.count() > 1
+    folder = index.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert not os.path.exists(f"{folder}/_SUCCESS")

@@ -205,7 +205,8 @@ def write_warc(pages: DataFrame) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "size", "n_records"])
 
-    return written(rows.mapInArrow(write, INDEX), "warc-index")
+    # A row or a few per task: one file, not one per task.
+    return written(rows.mapInArrow(write, INDEX).repartition(1), "warc-index")
 
 
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
