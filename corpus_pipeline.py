@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import byte_bpe, decontaminate, line_dedup, near_dup, toxicity
-from textloom.llm.common import MARKER, scratch, table
+from textloom.llm.common import save, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -75,6 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.option(MARKER, "false").option("compression", "zstd").parquet(path)
+        save(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, small_batches
+from .common import attach, holds, small_batches
 from .pretoken import PatternEncoder, as_bytes, byte_characters, load_ranks
 
 
@@ -104,6 +104,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("byte_bpe", codec.cache_clear)
         bpe = codec(path, pattern)
         for batch in small_batches(batches, "text", 4 << 20):
             ids = bpe.encode(batch.column(batch.schema.get_field_index("text")))
@@ -119,6 +120,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     attach(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("byte_bpe", codec.cache_clear)
         bpe, sha = codec(path, pattern), lambda b: hashlib.sha256(b).hexdigest()
         for batch in small_batches(batches, "text", 4 << 20):
             ids = bpe.encode(batch.column(batch.schema.get_field_index("text")))

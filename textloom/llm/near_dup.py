@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MARKER, Sketch, attach, batch_rows, lookup, parquet_files, scratch, small_batches, texts_of, written
+from .common import LOWER, Sketch, attach, batch_rows, lookup, parquet_files, save, scratch, small_batches, texts_of, written
 
 COMPONENTS = 64
 CHUNKS = 14
@@ -262,7 +262,7 @@ class Rarity:
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["p", "c"])
 
         out = sets.select("s").mapInArrow(count, "p long, c long").groupBy("p").agg(F.sum("c").alias("c"))
-        out.write.option(MARKER, "false").option("compression", "zstd").parquet(self.path)
+        save(out, self.path)
 
     @staticmethod
     def places(s: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, crc32_of_id, small_batches, texts_of
+from .common import attach, crc32_of_id, holds, small_batches, texts_of
 
 BITS = 20
 #: Labelled ids, and characters of their texts, that the model is fitted on at most.
@@ -41,6 +41,9 @@ class WordHashes:
     def __init__(self) -> None:
         self.memo: dict[bytes, int] = {}
 
+    def forget(self) -> None:
+        self.memo = {}
+
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
@@ -105,6 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from,
     picked = slim.withColumn("chars", chars).where(F.col("chars") <= SAMPLE_CHARS).select("__id", "label", F.col("x.__t").alias("__p"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("toxicity", HASHES.forget)
         for batch in small_batches(batches, "text", 4 << 20):
             x = [np.unique(feature_ids(t)).astype("<i4").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["__id", "label", "x"])
@@ -141,6 +145,7 @@ def score(docs: DataFrame, weights: dict[int, float], keep: list[str]) -> DataFr
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("toxicity", HASHES.forget)
         at, w = shared.value
         dense = np.zeros((1 << BITS) + 1)
         dense[at] = w
